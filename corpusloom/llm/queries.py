@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import textform
+from . import lines, textform
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,5 +23,18 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return textform.normalise(c, ["content", "emetteur"], textform.fit(c, ["content", "emetteur"]))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the corpus that recur across the documents of their issuer."""
+    ship(spark)
+    return lines.repeated_lines(table(spark, d, "corpus")).select("row_id", "line_no")
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without these lines."""
+    ship(spark)
+    c = table(spark, d, "corpus")
+    return lines.without_repeated_lines(c, lines.repeated_lines(c))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
