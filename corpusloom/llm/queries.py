@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import lines, textform
+from . import lines, neardup, textform
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of corpus rows within one group of near-duplicates."""
+    ship(spark)
+    return neardup.group_pairs(neardup.groups(table(spark, d, "corpus")))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each corpus row that is in one."""
+    ship(spark)
+    return neardup.groups(table(spark, d, "corpus")).withColumnRenamed("group", "group_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
