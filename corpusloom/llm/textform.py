@@ -38,15 +38,16 @@ FULL_WIDTH = "\uFF01-\uFF60\uFFE0-\uFFE6"
 #: Letters of no Latin script and no common use, in the syntax of Java and of the regex module.
 FOREIGN_JAVA = r"[\p{L}&&[^\p{IsLatin}\p{IsCommon}]]"
 
-#: One character class: any text without such a character is in the consistent form already.
-SUSPECT_JAVA = f"[{FULL_WIDTH}{MARKS}{INVISIBLE}{SPACES}{LIGATURES}]|{FOREIGN_JAVA}"
+#: Text of these characters only is in the consistent form already; one class, common ranges first.
+SUSPECT_JAVA = r"[^\x00-\x9F\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027\u2030-\u205E\u2070-\u20CF\u2100-\u214F\u2190-\u27BF]"
 _FOREIGN = "\u0370-\u03FF\u0400-\u052F\u0530-\u058F\u0590-\u10FF\u1100-\u1CFF\u1F00-\u1FFF\u2C00-\u2C5F\u2C80-\u2DFF\u3040-\uA71F\uA800-\uAB2F\uAB65-\uFAFF\uFB13-\uFDFF\uFE70-\uFEFC\uFF66-\uFFDC"
 SUSPECT = re.compile(f"[{FULL_WIDTH}{MARKS}{INVISIBLE}{SPACES}{LIGATURES}{_FOREIGN}]")
-_LETTER_RUN = regex.compile(rf"[\p{{L}}\p{{M}}{INVISIBLE}]+")
-_LATIN = regex.compile(r"\p{Latin}")
+FOREIGN = re.compile(f"[{_FOREIGN}]")
+_IN_WORD = re.compile(rf"[^\W\d_]|[{MARKS}{INVISIBLE}]")
+_LATIN = re.compile("[A-Za-zªºÀ-ÖØ-öø-ʸḀ-ỿﬀ-ﬆＡ-Ｚａ-ｚ]")
 _OTHER = regex.compile(r"[\p{L}--\p{Latin}--\p{Common}]", regex.V1)
 #: What stays a case after rewriting, as it has no look-alike in plain form.
-_LEFT = regex.compile(rf"[{FULL_WIDTH}{MARKS}{INVISIBLE}{SPACES}{LIGATURES}]")
+_LEFT = re.compile(rf"[{FULL_WIDTH}{MARKS}{INVISIBLE}{SPACES}{LIGATURES}]")
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -118,8 +119,24 @@ class Rewriter:
             self.auto.add_word(k, (k, v))
         self.auto.make_automaton()
 
+    def _latin_words(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the words that hold a letter of another script beside a Latin letter."""
+        spans, at = [], 0
+        for m in FOREIGN.finditer(text):
+            if m.start() < at:
+                continue
+            i, j = m.span()
+            while i and _IN_WORD.match(text[i - 1]):
+                i -= 1
+            while j < len(text) and _IN_WORD.match(text[j]):
+                j += 1
+            at = j
+            if j - i > 1 and _LATIN.search(text, i, j):
+                spans.append((i, j))
+        return spans
+
     def _once(self, text: str) -> str:
-        latin: list[tuple[int, int]] = [m.span() for m in _LETTER_RUN.finditer(text) if _LATIN.search(m.group()) and _OTHER.search(m.group())] if _OTHER.search(text) else []
+        latin = self._latin_words(text)
         out, at, k = [], 0, 0
         for end, (old, new) in self.auto.iter_long(text):
             start = end - len(old) + 1
@@ -135,6 +152,8 @@ class Rewriter:
     def __call__(self, text: str) -> str:
         if not SUSPECT.search(text):
             return text
+        if not _LEFT.search(text) and not self._latin_words(text):
+            return text
         for _ in range(8):
             text, before = self._once(text), text
             if text == before:
