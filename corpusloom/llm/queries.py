@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import lines, neardup, textform
+from . import answers, encoding, leaks, lines, neardup, overlap, quota, textform
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers of the preference pairs with their defect."""
+    ship(spark)
+    return answers.defective_answers(table(spark, d, "pairs"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,5 +54,50 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_repeated_lines(c, lines.repeated_lines(c))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of near-duplicates between training and evaluation splits."""
+    ship(spark)
+    return overlap.found(table(spark, d, "corpus"), table(spark, d, "splits"))
+
+
+def p5_exact_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation rows and those equal to a training row after canonicalisation, by split and issuer."""
+    ship(spark)
+    return overlap.exact_overlaps(table(spark, d, "corpus"), table(spark, d, "splits"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that cannot be met."""
+    return quota.unmet(table(spark, d, "corpus"), table(spark, d, "targets"))
+
+
+def p6_allocation(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted, available and allocated rows of each target."""
+    return quota.allocation(table(spark, d, "corpus"), table(spark, d, "targets")).drop("e", "t")
+
+
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sample drawn by these quotas."""
+    return quota.draw(table(spark, d, "corpus"), table(spark, d, "targets"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of each document."""
+    ship(spark)
+    return encoding.token_ids(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of a held-out paragraph, and which."""
+    ship(spark)
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "gold"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without these passages."""
+    ship(spark)
+    return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "gold"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
