@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import answers, encoding, leaks, lines, neardup, overlap, quota, textform
+from . import answers, encoding, leaks, lines, neardup, overlap, quota, subjects, textform
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,5 +99,11 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.remove_leaks(table(spark, d, "documents"), table(spark, d, "gold"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of each document."""
+    ship(spark)
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
