@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship, table
-from . import answers, encoding, leaks, lines, neardup, overlap, quota, subjects, textform
+from . import answers, encoding, leaks, lines, neardup, overlap, quota, scans, subjects, textform
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +81,18 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return quota.draw(table(spark, d, "corpus"), table(spark, d, "targets"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of scanning noise in each corpus row."""
+    ship(spark)
+    return scans.scan_noise(table(spark, d, "corpus"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with this noise repaired."""
+    ship(spark)
+    return scans.repair(table(spark, d, "corpus"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of each document."""
     ship(spark)
