@@ -59,8 +59,8 @@ def _gram_rows(df: DataFrame, key: str, text: str, run: int) -> DataFrame:
             for k, t in zip(b[key].tolist(), b[text].tolist()):
                 w = _words(t)
                 grams = sorted({" ".join(w[i : i + run]) for i in range(len(w) - run + 1)})
-                for lo in range(0, len(grams), 50_000):
-                    part = grams[lo : lo + 50_000]
+                for lo in range(0, len(grams), 5_000):
+                    part = grams[lo : lo + 5_000]
                     yield pd.DataFrame({key: k, "h": [xxhash.xxh64_intdigest(g) - (1 << 63) for g in part], "gram": part})
 
     return df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(rows, f"{key} long, h long, gram string")
