@@ -156,7 +156,7 @@ class Rewriter:
             return text
         for _ in range(8):
             text, before = self._once(text), text
-            if text == before:
+            if text == before or not SUSPECT.search(text):
                 break
         return unicodedata.normalize("NFC", text) if re.search(f"[{MARKS}]", text) else text
 
