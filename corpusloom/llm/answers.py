@@ -185,6 +185,7 @@ def defective_answers(df: DataFrame, key: str = "pair_id", prompt: str = "prompt
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(k, f, d) for k, p, *answers in zip(*[b[c].tolist() for c in (key, prompt, *fields)]) for f, a in zip(fields, answers) if (d := defect(p, a))]
-            yield pd.DataFrame(out, columns=[key, "field", "defect"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "field", "defect"])
 
     return df.select(key, prompt, *fields).mapInPandas(run, f"{key} string, field string, defect string").distinct()

@@ -90,7 +90,8 @@ def leaks(df: DataFrame, evaluation: DataFrame, run: int = RUN, key: str = "doc_
                 for _, ids in g.hits(_words(t)):
                     found |= ids
                 out += [(k, i) for i in sorted(found)]
-            yield pd.DataFrame(out, columns=["k", "i"]).astype("int64")
+            if out:
+                yield pd.DataFrame(out, columns=["k", "i"])
 
     hits = df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(scan, "k long, i long")
     return hits.select(F.col("k").alias(key), F.col("i").alias(item)).distinct()

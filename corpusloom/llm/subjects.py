@@ -25,7 +25,7 @@ from .textform import WORD, consistent
 LABELLED_DOCUMENTS = 20_000  # bound of the labelled sample that the model is fitted on
 LEAVES = 64
 SHARE = 0.21  # between the sixth that passing mentions stay below and the quarter that counts
-MIN_LIFT, MIN_DOCS = 2.0, 3
+MIN_LIFT, MIN_DOCS = 1.5, 3
 
 # Abbreviations whose full stop ends no sentence.
 _ABBREVIATED = re.compile(r"(?i)\b(réf|ref|no|art|al|cf|vol|fig|p|pp|m|mm|dr|st|env|max|min|nos|etc)\.$")
@@ -232,7 +232,8 @@ def document_subjects(df: DataFrame, labels: DataFrame, key: str = "doc_id", tex
                 part = b.iloc[lo : lo + 2000]
                 shares = m.all_shares(part[text].tolist())
                 r, c = np.nonzero(shares >= share)
-                yield pd.DataFrame({"k": part[key].to_numpy()[r], "subject": [m.subjects[j] for j in c]})
+                if len(r):
+                    yield pd.DataFrame({"k": part[key].to_numpy()[r], "subject": [m.subjects[j] for j in c]})
 
     kind = dict(df.dtypes)[key]
     hits = df.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInPandas(run, f"k {kind}, subject string")
