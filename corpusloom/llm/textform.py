@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -177,6 +177,50 @@ def words(text: str) -> list[str]:
     return WORD.findall(consistent(text).lower())
 
 
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS = np.cumprod(np.full(4096, 0x100000001B3, dtype=np.uint64))
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def code_table(name: str, test: Callable[[str], bool]) -> np.ndarray:
+    """For each code point whether ``test`` holds; built once per worker process."""
+    if name not in _TABLES:
+        _TABLES[name] = np.fromiter((test(chr(c)) for c in range(0x110000)), dtype=bool, count=0x110000)
+    return _TABLES[name]
+
+
+def token_hashes(texts: list[str], within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of characters of a class, text by text: the hashes in order, how
+    many each text has, and the first code point of each run. Whole batches at once."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = within[codes]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    ends = np.cumsum(sizes)
+    firsts = (ends - sizes)[sizes > 0]
+    start[firsts] = inside[firsts]
+    at = np.flatnonzero(start)
+    counts = np.diff(np.searchsorted(at, np.r_[0, ends]))
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), counts, codes[:0]
+    chars = np.flatnonzero(inside)
+    first = np.searchsorted(chars, at)
+    lens = np.diff(np.r_[first, len(chars)])
+    place = np.arange(len(chars)) - np.repeat(first, lens)
+    h = np.add.reduceat((codes[chars].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095], first)
+    h ^= h >> np.uint64(29)
+    h *= _M2
+    h ^= h >> np.uint64(32)
+    return h * _M1 | np.uint64(1), counts, codes[at]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that are in the consistent form and in lower case, and how many
+    each text has."""
+    return token_hashes(texts, code_table("word", str.isalnum))[:2]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
