@@ -46,6 +46,13 @@ def round_robin(df: DataFrame, part: str, group: str, key: str, n: int, seed: in
     return top_k(a, [part], ["_turn", shuffled(group, seed), group], n, "_k").drop("_turn", "_k")
 
 
+def round_robin_quota(df: DataFrame, part: str, group: str, key: str, quota: DataFrame, seed: int) -> DataFrame:
+    """As ``round_robin`` with the number of rows of each part from ``quota`` (part, quota)."""
+    a = df.join(F.broadcast(quota), part).withColumn("_turn", F.row_number().over(W.partitionBy(part, group).orderBy(shuffled(key, seed), key))).where("_turn <= quota")
+    k = F.row_number().over(W.partitionBy(part).orderBy("_turn", shuffled(group, seed), group))
+    return a.withColumn("_k", k).where("_k <= quota").drop("_turn", "_k", "quota")
+
+
 def split(df: DataFrame, part: list[str], key: str, share: float, seed: int) -> DataFrame:
     """Adds ``part`` train or val: of each stratum the rounded share, at least one, goes to
     validation, and at least one row stays in training."""
