@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import WORD, consistent
+from .textform import WORD, consistent, word_hashes
 
 LABELLED_DOCUMENTS = 20_000  # bound of the labelled sample that the model is fitted on
 LEAVES = 64
@@ -29,7 +29,7 @@ MIN_LIFT, MIN_DOCS = 1.5, 3
 
 # Abbreviations whose full stop ends no sentence.
 _ABBREVIATED = re.compile(r"(?i)\b(réf|ref|no|art|al|cf|vol|fig|p|pp|m|mm|dr|st|env|max|min|nos|etc)\.$")
-_END = re.compile(r"[.!?…]+[\"»”)\]]*\s+|\s*[\r\n]+\s*|[.!?…]+[\"»”)\]]*$")
+_END = re.compile(r"[.!?…]+[\"»”)\]]*\s+|[\r\n]\s*|[.!?…]+[\"»”)\]]*$")
 
 
 def sentences(text: str) -> list[str]:
@@ -37,7 +37,7 @@ def sentences(text: str) -> list[str]:
     out, at, low = [], 0, consistent(text)
     for m in _END.finditer(low):
         piece = low[at : m.end()].strip()
-        if low[m.start()] in ".!?…" and _ABBREVIATED.search(low[at : m.start() + 1]):
+        if low[m.start()] in ".!?…" and _ABBREVIATED.search(low[max(at, m.start() - 6) : m.start() + 1]):
             continue
         if low[m.start()] not in ".!?…" and piece and piece[-1] not in ".!?…:;»”" and low[m.end() : m.end() + 1].islower():
             continue
@@ -62,27 +62,37 @@ class SubjectModel:
     subjects: list[str]
     number: dict[str, int]
     weight: np.ndarray
-    split: list[np.ndarray] = field(default_factory=list)  # per inner node: centre 1 minus centre 0, and at its end the middle
+    hashes: np.ndarray | None = None  # of the terms, sorted, with their numbers in ``order``
+    order: np.ndarray | None = None
+    split: list[np.ndarray] = field(default_factory=list)  # per inner node: centre 1 minus centre 0
     child: list[tuple[int, int]] = field(default_factory=list)  # inner nodes from 0, leaves as ~leaf
     mixture: np.ndarray | None = None  # leaves x subjects
     label: list[list[str]] = field(default_factory=list)
 
-    def vectors(self, terms: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of normalised vectors as flat numbers, values and row ends."""
-        get = self.number.get
-        rows = [[n for t in ts if (n := get(t)) is not None] for ts in terms]
-        lens = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.fromiter((n for r in rows for n in r), dtype=np.int64, count=int(lens.sum()))
+    def vectors(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Normalised vectors over the distinct terms of each sentence: term numbers, values, rows."""
+        h, counts = word_hashes([s.lower() for s in sentences])
+        if not len(self.number) or not len(h):
+            return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+        if self.hashes is None:
+            names = list(self.number)
+            hashes = np.array([word_hashes([w])[0][0] for w in names], dtype=np.uint64)
+            order = np.argsort(hashes)
+            self.hashes, self.order = hashes[order], np.array([self.number[w] for w in names])[order]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[at] == h
+        both = np.unique(np.repeat(np.arange(len(sentences)), counts)[hit] * len(self.number) + self.order[at[hit]])
+        owner, flat = np.divmod(both, len(self.number))
         values = self.weight[flat]
-        owner = np.repeat(np.arange(len(rows)), lens)
-        norm = np.sqrt(np.bincount(owner, values**2, minlength=len(rows)))
-        return flat, values / norm[owner] if len(flat) else values, owner
+        norm = np.sqrt(np.bincount(owner, values**2, minlength=len(sentences)))
+        return flat, values / norm[owner], owner
 
-    def leaves(self, terms: list[list[str]]) -> np.ndarray:
+    def leaves(self, sentences: list[str]) -> np.ndarray:
         """The leaf of each sentence; -1 for one without a discriminative term."""
-        flat, values, owner = self.vectors(terms)
-        node = np.zeros(len(terms), dtype=np.int64)
-        known = np.bincount(owner, minlength=len(terms)) > 0
+        flat, values, owner = self.vectors(sentences)
+        n = len(sentences)
+        node = np.zeros(n, dtype=np.int64)
+        known = np.bincount(owner, minlength=n) > 0
         if not self.split:
             return np.where(known, 0, -1)
         table, child = np.stack(self.split), np.array(self.child)
@@ -90,7 +100,7 @@ class SubjectModel:
         while active.any():
             use = active[owner]
             o = owner[use]
-            score = np.bincount(o, values[use] * table[node[o], flat[use]], minlength=len(terms)) - table[node.clip(0), -1]
+            score = np.bincount(o, values[use] * table[node[o], flat[use]], minlength=n)
             node[active] = child[node[active], (score[active] > 0).astype(int)]
             active &= node >= 0
         return np.where(known, ~node, -1)
@@ -99,7 +109,7 @@ class SubjectModel:
         """The share of the sentences of each text that is about each subject."""
         split = [sentences(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        leaf = self.leaves([_terms(s) for ss in split for s in ss])
+        leaf = self.leaves([s for ss in split for s in ss])
         mix = np.vstack([self.mixture, np.zeros(len(self.subjects))])[leaf] if len(leaf) else np.zeros((0, len(self.subjects)))
         out = np.zeros((len(texts), len(self.subjects)))
         np.add.at(out, np.repeat(np.arange(len(texts)), sizes), mix)
@@ -110,7 +120,8 @@ def fit(documents: list[tuple[str, set[str]]], leaves: int = LEAVES, rounds: int
     """The model of labelled texts; deterministic. No texts: a model that finds no subject."""
     names = sorted({s for _, ss in documents for s in ss})
     at = {s: i for i, s in enumerate(names)}
-    texts = [[_terms(s) for s in sentences(t)] for t, _ in documents]
+    split = [sentences(t) for t, _ in documents]
+    texts = [[_terms(s) for s in ss] for ss in split]
     held = np.array([[s in ss for s in names] for _, ss in documents], dtype=float).reshape(len(documents), len(names))
     base = held.mean(axis=0) if len(documents) else np.zeros(0)
     df: Counter[str] = Counter()
@@ -132,8 +143,8 @@ def fit(documents: list[tuple[str, set[str]]], leaves: int = LEAVES, rounds: int
                 number[t] = len(number)
                 weight.append((np.log(lift) * top) ** 2)
     model = SubjectModel(names, number, np.array(weight))
-    flat, values, owner = model.vectors([s for ss in texts for s in ss])
-    sentence_doc = np.repeat(np.arange(len(texts)), [len(s) for s in texts])
+    flat, values, owner = model.vectors([s for ss in split for s in ss])
+    sentence_doc = np.repeat(np.arange(len(split)), [len(s) for s in split])
     rows = len(sentence_doc)
     dims = len(number)
     leaf_of = np.zeros(rows, dtype=np.int64)
@@ -175,7 +186,7 @@ def fit(documents: list[tuple[str, set[str]]], leaves: int = LEAVES, rounds: int
         c0, c1 = c0 / max(np.linalg.norm(c0), 1e-9), c1 / max(np.linalg.norm(c1), 1e-9)
         side = np.bincount(o, v * (c1 - c0)[f], minlength=len(ids)) > 0
         node = len(model.split)
-        model.split.append(np.r_[c1 - c0, 0.0])
+        model.split.append(c1 - c0)
         model.child.append((~k, ~len(groups)))
         if place[k] is not None:
             parent, which = place[k]
