@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a few longs that may be broadcast; beyond this every operator joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+_WRITTEN: list[str] = []
 
 
 def session(app: str = "corpusloom", cpus: int = 8, **conf: str) -> SparkSession:
@@ -33,13 +35,10 @@ def session(app: str = "corpusloom", cpus: int = 8, **conf: str) -> SparkSession
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the session's checkpoint folder and drop its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only a local master without
-    that setting gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local master without that setting gets a
+    temporary folder, set as the checkpoint folder too."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
@@ -48,9 +47,34 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut`` but as a Parquet table, for wide intermediates read by column. It is deleted when
+    the session's JVM ends, or by ``drop_written``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _WRITTEN.append(path)
+    return spark.read.parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made, once nothing that reads them is to be run."""
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``df`` cut and counted, with a broadcast hint if it has at most ``limit`` rows.
 
