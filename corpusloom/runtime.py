@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows of a few longs that may be broadcast; beyond this every operator joins by shuffle.
 BROADCAST_ROWS = 1_000_000
-_WRITTEN: list[str] = []
 
 
 def session(app: str = "corpusloom", cpus: int = 8, **conf: str) -> SparkSession:
@@ -56,23 +56,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As ``cut`` but as a Parquet table, for wide intermediates read by column. It is deleted when
-    the session's JVM ends, or by ``drop_written``."""
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """As ``cut`` but as a Parquet table, and a function that deletes it: for wide intermediates
+    that are read by column and needed for a while only. Without a call it goes when the session's
+    JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _WRITTEN.append(path)
-    return spark.read.parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` made, once nothing that reads them is to be run."""
-    while _WRITTEN:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    df.write.parquet(p.toString())
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p)
+    return spark.read.parquet(p.toString()), lambda: fs.delete(p, True) and None
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
