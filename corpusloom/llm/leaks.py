@@ -99,8 +99,11 @@ def leaks(df: DataFrame, evaluation: DataFrame, run: int = RUN, key: str = "doc_
 
 def remove_leaks(df: DataFrame, evaluation: DataFrame, run: int = RUN, key: str = "doc_id", text: str = "text", item: str = "row_id", content: str = "content") -> DataFrame:
     """``(key, text, removed)``: each training text in the consistent form without the spans of
-    its leaked windows, and the number of words taken out. Null stays null with 0 removed."""
+    its leaked windows, and the number of words taken out. Null stays null with 0 removed. The
+    evaluation texts must have about ``BROADCAST_GRAMS`` runs at most, else an error says so."""
     held = evaluation.select(item, content).where(F.col(content).isNotNull() & F.col(item).isNotNull())
+    if (held.select(F.sum(F.length(content) / 2)).first()[0] or 0) > 4 * BROADCAST_GRAMS:
+        raise ValueError("too many evaluation texts for one pass: find the documents by leaks() and clean those by parts of the evaluation set")
     grams = df.sparkSession.sparkContext.broadcast(_Grams([(r[0], r[1]) for r in held.distinct().collect()], run))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import WORD, consistent, word_hashes
+from .textform import WORD, consistent, spans, word_hashes
 
 LABELLED_DOCUMENTS = 20_000  # bound of the labelled sample that the model is fitted on
 LEAVES = 64
@@ -239,8 +239,8 @@ def document_subjects(df: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for b in batches:
-            for lo in range(0, len(b), 2000):
-                part = b.iloc[lo : lo + 2000]
+            for lo, hi in spans(b[text].str.len().tolist()):
+                part = b.iloc[lo:hi]
                 shares = m.all_shares(part[text].tolist())
                 r, c = np.nonzero(shares >= share)
                 if len(r):

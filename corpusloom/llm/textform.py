@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,6 +184,28 @@ _POWERS = np.cumprod(np.full(4096, 0x100000001B3, dtype=np.uint64))
 _TABLES: dict[str, np.ndarray] = {}
 
 
+def spans(sizes: Iterable[int], rows: int = 2000, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows, each with at most so many rows and, unless one row alone has more, characters,
+    so that arrays by character stay small however long the texts are."""
+    lo = total = end = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo >= rows or total + n > chars):
+            yield lo, i
+            lo, total = i, 0
+        total, end = total + n, i + 1
+    if end > lo:
+        yield lo, end
+
+
+def by_size(batches: Iterable[pa.RecordBatch], column: str, rows: int = 2000, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches by ``spans`` of a text column."""
+    for b in batches:
+        if b.num_rows:
+            sizes = pc.fill_null(pc.utf8_length(b.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+            for lo, hi in spans(sizes, rows, chars):
+                yield b.slice(lo, hi - lo)
+
+
 def code_table(name: str, test: Callable[[str], bool]) -> np.ndarray:
     """For each code point whether ``test`` holds; built once per worker process."""
     if name not in _TABLES:
@@ -242,10 +266,10 @@ def fit(df: DataFrame, columns: Iterable[str]) -> LookalikeTable:
     by_len = {n: np.array(sorted(_key(m) for m in members if len(m) == n), dtype=np.uint64) for n in (1, 2, 3)}
     names = {_key(m): m for m in members}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(k), dtype=np.int64) for n, k in by_len.items()}
-        for b in batches:
-            text = "\n".join(b["v"].dropna())
+        for b in by_size(batches, "v", 10_000):
+            text = "\n".join(b.column("v").to_pylist())
             one = _codes(text)
             grams = {1: one, 2: one[:-1] << np.uint64(21) | one[1:], 3: (one[:-2] << np.uint64(42)) | (one[1:-1] << np.uint64(21)) | one[2:]}
             for n, keys in by_len.items():
@@ -258,10 +282,10 @@ def fit(df: DataFrame, columns: Iterable[str]) -> LookalikeTable:
                         c = np.bincount(grams[1].astype(np.int64), minlength=0x110000)
                         total[1] += c[keys.astype(np.int64)]
         k, v = np.concatenate(list(by_len.values())), np.concatenate(list(total.values()))
-        yield pd.DataFrame({"k": k[v > 0].astype(np.int64), "n": v[v > 0]})
+        yield pa.RecordBatch.from_pydict({"k": k[v > 0].astype(np.int64), "n": v[v > 0]})
 
     values = df.select(F.explode(F.array(*[F.col(c) for c in columns])).alias("v")).where("v is not null")
-    rows = values.mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = values.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     return LookalikeTable({names[r["k"]]: r["n"] for r in rows})
 
 
