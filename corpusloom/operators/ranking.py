@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
@@ -24,20 +26,23 @@ def first_of(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
 
 
 def _placed(df: DataFrame, part: list[str], key: str, seed: int) -> DataFrame:
-    """Adds ``_place``, the place of a row in the drawing order of its part, without sorting a part
-    in one task: the two first hex digits of the hash make 256 ranges, whose counts are summed."""
-    df = df.withColumn("_h", shuffled(key, seed)).withColumn("_b", F.substring("_h", 1, 2))
-    w = W.partitionBy(*part).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    before = df.groupBy(*part, "_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    joined = df.join(before, [*part, "_b"])
-    return joined.withColumn("_place", F.col("_before") + F.row_number().over(W.partitionBy(*part, "_b").orderBy("_h", key)))
+    """Adds ``_place``, the place of a row in the drawing order of its part, and ``_size``, the
+    rows of the part, without sorting a part in one task: the two first hex digits of the hash make
+    256 ranges, whose counts are summed. Parts are compared as structs, so null is a part."""
+    df = df.withColumn("_h", shuffled(key, seed)).withColumn("_b", F.substring("_h", 1, 2)).withColumn("_k", F.struct(*part))
+    w = W.partitionBy("_k")
+    before = df.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_size", F.sum("_n").over(w)).drop("_n")
+    joined = df.join(before, ["_k", "_b"])
+    placed = joined.withColumn("_place", F.col("_before") + F.row_number().over(W.partitionBy("_k", "_b").orderBy("_h", key)))
+    return placed.drop("_h", "_b", "_k", "_before")
 
 
 def draw(df: DataFrame, part: str, quota: DataFrame, key: str, seed: int) -> DataFrame:
     """As many rows of each part as ``quota`` (part, quota) says, or all it has. Parts without a
     quota and null parts give none."""
     got = _placed(df.join(F.broadcast(quota), part), [part], key, seed)
-    return got.where("_place <= quota").drop("_h", "_b", "_before", "_place", "quota")
+    return got.where("_place <= quota").drop("_place", "_size", "quota")
 
 
 def round_robin(df: DataFrame, part: str, group: str, key: str, n: int, seed: int) -> DataFrame:
@@ -56,11 +61,10 @@ def round_robin_quota(df: DataFrame, part: str, group: str, key: str, quota: Dat
 def split(df: DataFrame, part: list[str], key: str, share: float, seed: int) -> DataFrame:
     """Adds ``part`` train or val: of each stratum the rounded share, at least one, goes to
     validation, and at least one row stays in training."""
-    w = W.partitionBy(*part)
-    k = F.row_number().over(w.orderBy(shuffled(key, seed), key))
-    n = F.count("*").over(w)
+    n = F.col("_size")
     take = F.least(n - 1, F.greatest(F.lit(1), F.round(n * share).cast("long")))
-    return df.withColumn("part", F.when(k <= take, "val").otherwise("train"))
+    placed = _placed(df, part, key, seed)
+    return placed.withColumn("part", F.when(F.col("_place") <= take, "val").otherwise("train")).drop("_place", "_size")
 
 
 def one_of_each(df: DataFrame, column: str, order: list[str], n: int) -> DataFrame:
@@ -75,15 +79,16 @@ def pick_by_priority(subsets: list[DataFrame], key: str, each: int, total: int)
 
 
 def dense_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers from 0 in a total order: a range sort, the sizes of its partitions, and places
-    within them; no partition holds everything."""
-    cols = df.columns
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    s = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    s = s.withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = s.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return s.join(F.broadcast(before.select("_p", "_before")), "_p").select(*cols, (F.col("_before") + F.col("_i")).alias(name))
+    """Numbers from 0 in the order of columns that tell all rows apart. The order columns alone are
+    range-sorted and materialised, so that places and partition sizes are of one and the same sort;
+    no partition holds everything. The numbers are then joined to the rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.struct(*order).alias("_k")).repartitionByRange(parts, "_k").sortWithinPartitions("_k")
+    keys = cut(keys.select("_k", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    sizes = keys.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbers = keys.join(F.broadcast(before), "_p").select("_k", (F.col("_before") + F.col("_i")).alias(name))
+    return df.withColumn("_k", F.struct(*order)).join(numbers, "_k").drop("_k")
 
 
 def shuffle(df: DataFrame, key: str, seed: int, name: str) -> DataFrame:
