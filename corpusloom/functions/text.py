@@ -38,15 +38,18 @@ SENTENCE_END = r"[.!?;:»]\s*$"
 HEADER_LINE = r"^[A-ZÉÈÊÀÙÎÔÂÛÏË\d\s\-–—/&]{4,}$"
 
 
+#: Unicode white space; trimming and splitting by it needs no pattern.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def bare(c: Column) -> Column:
     """Without outer white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def word_array(c: Column) -> Column:
     """Words between white space; an empty array for blank text."""
-    t = bare(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+"))
+    return F.array_remove(F.split(F.translate(c, BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def word_count(c: Column) -> Column:
@@ -55,7 +58,7 @@ def word_count(c: Column) -> Column:
 
 def alpha_ratio(c: Column) -> Column:
     """Letters by code points; 0 for empty text."""
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.length(c)).when(c.isNotNull(), 0.0)
+    return F.when(F.length(c) > 0, (F.length(c) - F.length(F.regexp_replace(c, r"\p{L}+", ""))) / F.length(c)).when(c.isNotNull(), 0.0)
 
 
 def unique_ratio(c: Column) -> Column:
@@ -70,11 +73,7 @@ def sentence_count(c: Column) -> Column:
 
 
 def is_structural(c: Column) -> Column:
-    t = F.lower(bare(c))
-    out = F.lit(False)
-    for p in STRUCTURAL:
-        out = out | t.rlike(f"(?U){p}")
-    return out
+    return F.lower(bare(c)).rlike("(?U)^(?:" + "|".join(p.removeprefix("^") for p in STRUCTURAL) + ")")
 
 
 def passes_quality(c: Column) -> Column:

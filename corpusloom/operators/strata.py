@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..runtime import cut
+from ..runtime import cut, spread
 
 RARE = 0.005
 
@@ -23,6 +23,7 @@ def axes(df: DataFrame, quality: bool = True) -> DataFrame:
     """n_words, density, bucket, doc_group, quartile and stratum of the rows that pass the quality
     filter. The text is read once: its features are materialised as narrow rows, from which the
     thresholds and type shares are taken as one-row and few-row side inputs."""
+    df = spread(df.select("row_id", "content", "type_document", "date_envoi"))
     if quality:
         df = df.where(text.passes_quality(F.col("content")))
     df = df.select("row_id", F.coalesce("type_document", F.lit("unknown")).alias("doc_type"), dates.year_bucket(dates.year_of(F.col("date_envoi"))).alias("bucket"), text.word_count(F.col("content")).alias("n_words"), text.density(F.col("content")).alias("density"))
@@ -36,5 +37,7 @@ def axes(df: DataFrame, quality: bool = True) -> DataFrame:
 
 
 def stratum_table(df: DataFrame) -> DataFrame:
-    """Counts and means of each stratum."""
-    return df.groupBy("bucket", "doc_group", "quartile").agg(F.count("*").alias("n"), F.round(F.avg("density"), 6).alias("mean_density"), F.round(F.avg("n_words"), 6).alias("mean_words"))
+    """Counts and means of each stratum. Densities are whole millionths and are summed as such, so
+    the mean does not depend on the order of rows."""
+    millionths = F.sum(F.round(F.col("density") * 1_000_000).cast("long"))
+    return df.groupBy("bucket", "doc_group", "quartile").agg(F.count("*").alias("n"), F.round(millionths.cast("double") / F.count("*") / 1_000_000, 6).alias("mean_density"), F.round(F.avg("n_words"), 6).alias("mean_words"))

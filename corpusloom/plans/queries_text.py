@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import strata
 from ..operators.taxonomy import CATEGORIES, SUBCODES
+from ..runtime import spread
 from .bindings import bind, cte
 from .registry import query
 
@@ -63,17 +64,17 @@ def features(c: Column) -> list[Column]:
 
 @query("text_features", f"select row_id, {n_words('content')} as n_words, round({ALPHA}, 6) as alpha_ratio, round({UNIQUE}, 6) as unique_ratio, {SENTENCES} as n_sentences, {STRUCTURAL} as structural from corpus")
 def text_features(spark, d):
-    return bind(spark, d, "corpus").select("row_id", *features(F.col("content")))
+    return spread(bind(spark, d, "corpus").select("row_id", "content")).select("row_id", *features(F.col("content")))
 
 
 @query("mechanical_filter", f"select row_id, content from corpus where {QUALITY}")
 def mechanical_filter(spark, d):
-    return bind(spark, d, "corpus").where(text.passes_quality(F.col("content"))).select("row_id", "content")
+    return spread(bind(spark, d, "corpus").select("row_id", "content")).where(text.passes_quality(F.col("content")))
 
 
 @query("keyword_density", f"select row_id, {DENSITY} as density from corpus")
 def keyword_density(spark, d):
-    return bind(spark, d, "corpus").select("row_id", text.density(F.col("content")).alias("density"))
+    return spread(bind(spark, d, "corpus").select("row_id", "content")).select("row_id", text.density(F.col("content")).alias("density"))
 
 
 @query("density_quartile", STRATA + " select row_id, density, quartile from axes")
@@ -86,7 +87,7 @@ def stratum_counts(spark, d):
     return strata.axes(bind(spark, d, "corpus")).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query("stratum_table", STRATA + " select bucket, doc_group, quartile, count(*) as n, round(avg(density), 6) as mean_density, round(avg(n_words), 6) as mean_words from strata group by bucket, doc_group, quartile")
+@query("stratum_table", STRATA + " select bucket, doc_group, quartile, count(*) as n, round(cast(sum(cast(round(density * 1000000) as bigint)) as double) / count(*) / 1000000, 6) as mean_density, round(avg(n_words), 6) as mean_words from strata group by bucket, doc_group, quartile")
 def stratum_table(spark, d):
     return strata.stratum_table(strata.axes(bind(spark, d, "corpus")))
 
