@@ -257,8 +257,6 @@ def _pass(df: DataFrame, repaired: bool) -> DataFrame:
     headers, _ = sized(_headers(facts, repeated), 200_000)
     drop()
     ready = dropper.prepare(df).join(headers, "row_id", "left")
-    if not repaired:  # a text of one line has no noise but a header
-        ready = ready.where(F.contains("content", F.lit("\n")) | F.col("headers").isNotNull())
     flags = dropper.flags
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,7 +265,8 @@ def _pass(df: DataFrame, repaired: bool) -> DataFrame:
             rows, out = [], []
             for row, doc, issuer, content, drop, own in zip(*[b[c].tolist() for c in ("row_id", "document_id", "emetteur", "content", "drop", "headers")]):
                 if content is None:
-                    rows.append(row), out.append(None)
+                    if repaired:
+                        rows.append(row), out.append(None)
                     continue
                 lines = consistent(content).split("\n")
                 gone = flags(issuer, lines, drop)

@@ -196,6 +196,12 @@ def test_p7_kinds_and_repair(spark):
     assert scans.scan_noise(df.where("false")).count() == 0
 
 
+def test_p7_misread_in_one_line(spark):
+    plain = [(1000 + i, f"p{i}", "P", "Le montant versé par le groupe est resté stable.") for i in range(20)]
+    scan = [(1, "doc", "E", "Le rnontant versé par le groupe."), (2, "doc", "E", "Le montant versé en 2O21 par le groupe."), (3, "doc", "E", "Le montant versé en 2021.")]
+    assert rows(scans.scan_noise(spark.createDataFrame(plain + scan, CORPUS))) == [(1, "misread"), (2, "misread")]
+
+
 # p1
 @pytest.mark.parametrize(
     "answer,want",
