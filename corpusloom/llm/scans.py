@@ -29,7 +29,7 @@ from .textform import consistent
 MIN_HEADER_ROWS = 3
 WORD_SHARE, MIN_COUNT = 5e-7, 3  # at most two million words can have that share of all words
 RARER = 8  # a misread form is at least so many times rarer than the word
-DIGITAL = 0.1  # and at most this part of its places is in texts of one line, which no page was scanned for
+DIGITAL = 0.1  # and at most this part of its places is in texts of one line, which are rarely scanned
 
 # What recognition takes one or two letters for, as read and as printed.
 CONFUSIONS = [
@@ -129,8 +129,7 @@ class Reader:
         best = max(options, key=lambda w: (self.vocab.get(w, (0, 0)), w), default=None)
         if best is None or len(best) < 3:
             return None
-        n, digital = self.vocab.get(best, (0, 0))
-        return best if digital > DIGITAL * n and n >= RARER * max(own, 1) else None
+        return best if self.vocab.get(best, (0, 0))[0] >= RARER * max(own, 1) else None
 
     def whole(self, word: str) -> bool:
         return word in self.vocab or self.fix(word) is not None

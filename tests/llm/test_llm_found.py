@@ -202,6 +202,13 @@ def test_p7_misread_in_one_line(spark):
     assert rows(scans.scan_noise(spark.createDataFrame(plain + scan, CORPUS))) == [(1, "misread"), (2, "misread")]
 
 
+def test_p7_misread_where_all_texts_are_wrapped(spark):
+    plain = [(1000 + i, f"p{i}", f"P{i}", f"Le montant versé par la société numéro {i}\nest resté stable.") for i in range(20)]
+    df = spark.createDataFrame([*plain, (1, "doc", "E", "Le rnontant versé par\nla sociét6 est resté stable.")], CORPUS)
+    assert rows(scans.scan_noise(df)) == [(1, "misread")]
+    assert dict(rows(scans.repair(df).where("row_id = 1"))) == {1: "Le montant versé par la société est resté stable."}
+
+
 # p1
 @pytest.mark.parametrize(
     "answer,want",
