@@ -4,15 +4,15 @@ Each row is the set of its distinct sequences of consecutive words. Rows with eq
 one representative first. In each of several independent trees a representative walks from the
 root: at every node some positions of its minhash vector are chosen by a hash of the path, and
 the minwise tokens there name the children it goes to. Rows that meet in a node of the last
-level are compared by a sketch if the node is small; rows of larger nodes walk further down.
+level are compared by a sketch; rows of the very largest nodes walk further down first.
 Pairs that pass the sketch are checked against the exact sets, and the groups are the connected
 components of the pairs that hold.
 
 What is shuffled: 20 narrow entries for each representative, and the token sets of those rows
 only that are in some candidate pair. No task gets a whole key: nodes too large to compare are
-found by counters of fixed size before their rows meet, and walk on; what stays large at the
-last depth (rows that agree in every minwise token on the path) is compared in blocks, each
-with the least row of the node in it.
+found by counters of fixed size before their rows meet, and are compared block by block, every
+pair of blocks in a task of its own. Only beyond ``WALK`` blocks do the rows of a node walk on,
+and what stays as large at the last depth is compared block by block there.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 TREES, BRANCHES = 5, (2, 2, 1)
 MINHASHES = 32  # the sketch has four bits of each
 SKETCH_MISSES = 18  # of 32; a pair at 0.55 that met in three tokens misses 12 with a deviation of 2.7
-NODE, DEPTH = 4096, 8
+NODE, WALK, DEPTH = 4096, 32, 8  # rows compared in one task; times that a node may have before its rows walk on; last depth
 COUNTERS = 1 << 16, 1 << 20  # fewest and most; one for each 64 entries between
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -164,13 +164,20 @@ def _meet(entries: DataFrame, misses: int) -> DataFrame:
     behind the other, whatever the batches; a batch ends within a node at most once."""
     lanes = np.uint64(0x1111111111111111)
 
-    def pairs(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sided = "side" in entries.columns
+
+    def pairs(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        rest = np.repeat(np.r_[starts[1:], len(node)], np.diff(np.r_[starts, len(node)])) - np.arange(len(node)) - 1
+        sizes = np.diff(np.r_[starts, len(node)])
+        ends, first = np.repeat(np.r_[starts[1:], len(node)], sizes), np.arange(len(node)) + 1
+        if side is not None:  # rows of side 1 meet those of side 2 only
+            second = ends - np.repeat(np.add.reduceat((side == 2).astype(np.int64), starts), sizes)
+            first = np.where(side == 0, first, np.where(side == 1, second, ends))
+        rest = ends - first
         for part in np.array_split(np.flatnonzero(rest), int(rest.sum()) // 2_000_000 + 1):
             r = rest[part]
             i = np.repeat(part, r)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(r) - r, r)
+            j = np.repeat(first[part], r) + np.arange(len(i)) - np.repeat(np.cumsum(r) - r, r)
             miss = np.zeros(len(i), dtype=np.uint8)
             for s in (s1, s2):
                 x = s[i] ^ s[j]
@@ -184,8 +191,8 @@ def _meet(entries: DataFrame, misses: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
-            cols[2:] = [c.view(np.uint64) for c in cols[2:]]
+            cols = [c.to_numpy() for c in batch.columns]
+            cols[2:4] = [c.view(np.uint64) for c in cols[2:4]]
             if left is not None:
                 cols = [np.concatenate(x) for x in zip(left, cols)]
             if not len(cols[0]):
@@ -198,7 +205,7 @@ def _meet(entries: DataFrame, misses: int) -> DataFrame:
         if left is not None:
             yield from pairs(*left)
 
-    ordered = entries.repartition(F.col("node")).sortWithinPartitions("node")
+    ordered = entries.repartition(F.col("node")).sortWithinPartitions("node", *["side"] * sided)
     return ordered.mapInArrow(run, "a long, b long").where("a < b")
 
 
@@ -213,19 +220,21 @@ def candidate_pairs(reps: DataFrame, misses: int = SKETCH_MISSES) -> DataFrame:
         counters = min(max(1 << (n // 64).bit_length(), COUNTERS[0]), COUNTERS[1])
         # counters of fixed size tell the nodes that may be too large before their rows meet
         counts = _entries(rows, widths, counters).groupBy("c").agg(F.sum("n").alias("n"))
-        heavy = cut(counts.where(F.col("n") > max(NODE, 4 * n / counters)).select("c"))
+        most = max(NODE, 4 * n / counters)
+        heavy = cut(counts.where(F.col("n") > most).select("c", (F.col("n") > WALK * most).alias("walks")))
         entries = _entries(rows, widths)
         if heavy.isEmpty():
             found.append(_meet(entries, misses))
             break
         tagged = entries.withColumn("c", F.col("node").bitwiseAND(F.lit(counters - 1)))
-        heavy = F.broadcast(heavy)  # at most as many rows as there are counters
-        found.append(_meet(tagged.join(heavy, "c", "left_anti").drop("c"), misses))
-        large = tagged.join(heavy, "c", "left_semi").select("node", "row_id", "s1", "s2")
-        if depth == DEPTH:
-            found.append(_meet(_blocks(large), misses))
+        hot = F.broadcast(heavy)  # at most as many rows as there are counters
+        found.append(_meet(tagged.join(hot, "c", "left_anti").drop("c"), misses))
+        large = tagged.join(hot, "c").select("node", "row_id", "s1", "s2", "walks")
+        last = depth == DEPTH or heavy.where("walks").isEmpty()
+        found.append(_meet(_blocks((large if last else large.where("not walks")).drop("walks")), misses))
+        if last:
             break
-        rows = cut(large.select("node", "row_id").join(reps, "row_id"))
+        rows = cut(large.where("walks").select("node", "row_id").join(reps, "row_id"))
         widths = (1 + depth % 2,)
         n = rows.count() * widths[0]
     pairs = found[0]
@@ -235,14 +244,14 @@ def candidate_pairs(reps: DataFrame, misses: int = SKETCH_MISSES) -> DataFrame:
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """Entries of nodes that stay large, in blocks of about ``NODE`` rows that all have the least
-    row of their node."""
-    m = F.struct("row_id", "s1", "s2")
-    size = large.groupBy("node").agg(F.ceil(F.count("*") / NODE).alias("blocks"), F.min(m).alias("least"))
-    block = F.xxhash64("node", F.pmod(F.xxhash64("row_id"), "blocks")).alias("node")
-    own = large.join(size, "node").select(block, "row_id", "s1", "s2")
-    least = size.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"), "node", "least")
-    return own.unionByName(least.select(F.xxhash64("node", "k").alias("node"), "least.row_id", "least.s1", "least.s2")).distinct()
+    """Entries of large nodes as nodes of at most about ``NODE`` rows in which all their pairs
+    meet: a row goes to each pair of blocks that its own is in. ``side`` tells the two blocks of a
+    pair apart, and is 0 where a block meets itself."""
+    size, _ = sized(large.groupBy("node").count().where(F.col("count") > NODE).select("node", F.ceil(2 * F.col("count") / NODE).alias("blocks")))
+    own = large.join(size, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    own = own.withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("k"), 0).when(F.col("own") < F.col("k"), 1).otherwise(2).alias("side")
+    return own.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "row_id", "s1", "s2", side)
 
 
 def _jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

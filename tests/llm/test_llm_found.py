@@ -139,6 +139,18 @@ def test_p2_large_nodes_walk_on(spark, monkeypatch):
     assert sizes == {0: 60}
 
 
+def test_p2_hot_nodes_in_blocks_lose_no_pair(spark, monkeypatch):
+    shared = " ".join(f"commun{i}" for i in range(60))
+    data = [(2 * i + k, "d", "E", f"{shared} {' '.join(f'f{i}m{j}' for j in range(15))} {' '.join(f'r{i}k{k}m{j}' for j in range(30))}") for i in range(40) for k in range(2)]
+    reps = neardup.word_sets(spark.createDataFrame(data, CORPUS), None, 3, 20, True).cache()
+    want = rows(neardup.candidate_pairs(reps))
+    monkeypatch.setattr(neardup, "NODE", 4)
+    assert want and rows(neardup.candidate_pairs(reps)) == want
+    node = reps.select(F.lit(7).cast("long").alias("node"), "row_id", "s1", "s2")
+    monkeypatch.setattr(neardup, "NODE", 16)
+    assert rows(neardup._meet(neardup._blocks(node), 32)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(rows(neardup.components(chain)))
