@@ -151,6 +151,13 @@ def test_p2_hot_nodes_in_blocks_lose_no_pair(spark, monkeypatch):
     assert rows(neardup._meet(neardup._blocks(node), 32)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
 
 
+def test_p2_sketch_keeps_pairs_at_the_threshold():
+    from math import comb
+
+    lanes, miss = neardup.MINHASHES - 3, (1 - neardup.THRESHOLD) * 15 / 16
+    assert sum(comb(lanes, k) * miss**k * (1 - miss) ** (lanes - k) for k in range(neardup.SKETCH_MISSES + 1, lanes + 1)) < 0.002
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(rows(neardup.components(chain)))
