@@ -73,7 +73,7 @@ def permutation_test(df: DataFrame, draws: int = 200, folds: int = FOLDS, seed:
         x, y, fold = held.value
         k = int(pdf["draw"].iloc[0])
         labels = y if k == 0 else np.random.default_rng([seed, k]).permutation(y)
-        return pd.DataFrame({"draw": [k], "accuracy": [float(np.mean([_fit_score(x, labels, fold == f, int(y.max()) + 1, steps=60) for f in range(folds)]))]})
+        return pd.DataFrame({"draw": [k], "accuracy": [float(np.mean([_fit_score(x, labels, fold == f, int(y.max()) + 1) for f in range(folds)]))]})
 
     got = df.sparkSession.range(draws + 1).withColumnRenamed("id", "draw").groupBy("draw").applyInPandas(run, "draw long, accuracy double")
     true = F.max(F.when(F.col("draw") == 0, F.col("accuracy")))

@@ -224,7 +224,7 @@ def best_layer(spark, d):
 
 @query("permutation_p")
 def permutation_p(spark, d):
-    return probe.permutation_test(bind(spark, d, "embeddings"), draws=50)
+    return probe.permutation_test(bind(spark, d, "embeddings"))
 
 
 @query("stub_predictions")

@@ -202,6 +202,13 @@ def test_probe_finds_a_separable_layer(spark):
     assert got[1] > 0.95 > got[0]
 
 
+def test_permutation_query_has_the_draws_of_the_reference(spark, data):
+    from corpusloom.plans.queries_pairs import permutation_p
+
+    p = permutation_p(spark, data).first()["p"] * 201
+    assert p >= 1 - 1e-9 and abs(p - round(p)) < 1e-9
+
+
 def test_filters_on_empty_tables(spark):
     df = spark.createDataFrame([], "row_id int, lang string")
     assert filters.where_or_all(df, filters.member(F.col("lang"), ["fr"])).count() == 0
