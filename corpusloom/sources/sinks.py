@@ -58,6 +58,10 @@ def publish(df: DataFrame, held_out: DataFrame, folder: str) -> None:
     held_out.write.mode("overwrite").parquet(f"{folder}/gold/test")
 
 
+#: Rows of a table that run metadata may hold.
+META_ROWS = 10_000
+
+
 def write_atomically(path: str, text: str) -> None:
     """A small file on the driver that is there whole or not at all."""
     folder = Path(path).resolve().parent
@@ -68,13 +72,17 @@ def write_atomically(path: str, text: str) -> None:
 
 
 def run_metadata(path: str, source: str | None = None, parameters: dict | None = None, **tables: DataFrame) -> dict:
-    """Parameters, the hash of a source file, and small aggregates, as one JSON document."""
+    """Parameters, the hash of a source file, and small aggregates, as one JSON document.
+    An aggregate of more than ``META_ROWS`` rows is an error, and nothing is written."""
     meta: dict = {"parameters": parameters or {}}
     if source and os.path.isfile(source):
         with open(source, "rb") as f:
             meta["source_sha256"] = hashlib.file_digest(f, "sha256").hexdigest()
     for name, df in tables.items():
-        meta[name] = [r.asDict(recursive=True) for r in df.limit(10_000).collect()]
+        rows = df.limit(META_ROWS + 1).collect()
+        if len(rows) > META_ROWS:
+            raise ValueError(f"{name} has more than {META_ROWS} rows; write it as a table")
+        meta[name] = [r.asDict(recursive=True) for r in rows]
     write_atomically(path, json.dumps(meta, ensure_ascii=False, indent=1, default=str))
     return meta
 

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.sources import sinks, tabular, workbook
@@ -72,6 +73,13 @@ def test_sinks(spark, tmp_path):
     assert r"a\_b & 0.500 \\" in sinks.latex_table(spark.createDataFrame([("a_b", 0.5)], "x string, y double"), ["x", "y"], "c", "l")
 
 
+def test_run_metadata_is_never_cut(spark, tmp_path):
+    path = tmp_path / "m.json"
+    with pytest.raises(ValueError):
+        sinks.run_metadata(str(path), counts=spark.range(10_001))
+    assert not path.exists() and len(sinks.run_metadata(str(path), counts=spark.range(10_000))["counts"]) == 10_000
+
+
 def test_stream_resumes(spark, tmp_path):
     src, work = str(tmp_path / "src"), str(tmp_path / "work")
     one = " ".join(["mot"] * 20)
