@@ -303,7 +303,8 @@ def fit_labelled(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     their sentences, chosen by a hash of their key; deterministic. No labels: it finds no subject."""
     some = labels.where(F.col("subject").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.collect_set("subject").alias("subjects"))
     some = some.orderBy(F.xxhash64("k"), "k").limit(LABELLED_DOCUMENTS)
-    labelled = cut(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").groupBy("k").agg(F.max("t").alias("t")).join(F.broadcast(some), "k"))
+    labelled = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(some), "k")
+    labelled = cut(labelled.groupBy("k").agg(F.max("t").alias("t"), F.max("subjects").alias("subjects")))
     base = {r[0]: r[1] for r in labelled.select(F.explode("subjects").alias("s")).groupBy("s").count().collect()}
     names = sorted(base)
     if not names:
