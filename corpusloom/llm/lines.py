@@ -150,16 +150,17 @@ def _by_bucket(facts: DataFrame) -> DataFrame:
     return facts.select("row_id", "line_no", "key", "doc", "piece", F.explode(F.array(*bands)).alias("b"))
 
 
-def repeated_lines(df: DataFrame, min_documents: int = MIN_DOCUMENTS, exact: bool = True) -> DataFrame:
+def repeated_lines(df: DataFrame, min_documents: int = MIN_DOCUMENTS, exact: bool = True, bands: int = BANDS) -> DataFrame:
     """``(row_id, line_no, key)`` of each line repeated in ``min_documents`` documents of its issuer.
 
     ``df`` has row_id, document_id, emetteur, content; other columns are ignored. With ``exact``
-    the line itself must be that frequent, else its cluster of near-equal lines. A line that in
+    the line itself must be that frequent, else its cluster of near-equal lines; equal lines share
+    every band, so one of the ``bands`` is enough for the former. A line that in
     most of its places is a piece of a longer sentence is left out. Rows with null issuer or
     content neither count nor come out; a null document_id counts for no document; rows taken
     in twice come out for each line_no once. An empty table gives no rows.
     """
-    facts, drop = written(line_facts(df, 1 if exact else BANDS))
+    facts, drop = written(line_facts(df, bands))
     lines = repeated_of(facts, min_documents, exact)
     drop()
     return lines

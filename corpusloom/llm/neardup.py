@@ -4,9 +4,9 @@ Each row is the set of its distinct sequences of consecutive words. Rows with eq
 one representative first. In each of several independent trees a representative walks from the
 root: at every node some positions of its minhash vector are chosen by a hash of the path, and
 the minwise tokens there name the children it goes to. Rows that meet in a node of the last
-level are compared by a sketch; rows of the very largest nodes walk further down first.
-Pairs that pass the sketch are checked against the exact sets, and the groups are the connected
-components of the pairs that hold.
+level are compared by a sketch of their sets that bounds how many members differ; rows of the very
+largest nodes walk further down first. Pairs that pass the sketch are checked against the exact
+sets, and the groups are the connected components of the pairs that hold.
 
 What is shuffled: 20 narrow entries for each representative, and the token sets of those rows
 only that are in some candidate pair. No task gets a whole key: nodes too large to compare are
@@ -18,6 +18,7 @@ and what stays as large at the last depth is compared block by block there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ from .textform import by_size, consistent, word_hashes
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
 TREES, BRANCHES = 5, (2, 2, 1)
-MINHASHES = 32  # the sketch has four bits of each
-SKETCH_MISSES = 21  # of 32; a pair at 0.5 that met in three tokens misses 14 with a deviation of 2.7
+MINHASHES = 32
+BITS, CLASSES = 248, 256  # of a sketch; the classes of set sizes, 16 for each doubling
+SAMPLED, DEVIATIONS = 224, 3.3  # sets beyond that size are sampled for the sketch; a pair at the threshold may be so far off
 NODE, WALK, DEPTH = 4096, 32, 8  # rows compared in one task; times that a node may have before its rows walk on; last depth
-COUNTERS = 1 << 16, 1 << 20  # fewest and most; one for each 64 entries between
+COUNTERS = 1 << 16, 1 << 20  # fewest and most; one for each 64 entries between. More entries than the most can tell apart are counted by node
 
+SKETCH = ["s1", "s2", "s3", "s4"]
+_SKETCHED = ", ".join(f"{s} long" for s in SKETCH)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SALTS = np.random.default_rng(20260101).integers(1, 1 << 62, size=MINHASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,8 +62,8 @@ def shingle_hashes(a: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray,
     return h[keep], counts, whole
 
 
-def _signatures(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minhash vectors (32 bits each) and sketches (two words of four-bit lanes) of a batch."""
+def _minhashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The minhash vectors (32 bits each) of a batch."""
     starts = np.cumsum(counts) - counts
     mins = np.empty((len(counts), MINHASHES), dtype=np.uint64)
     for k, salt in enumerate(_SALTS):
@@ -69,9 +73,46 @@ def _signatures(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
         mins[:, k] = np.minimum.reduceat(x, starts)
     mins ^= mins >> np.uint64(30)
     mins *= _M3
-    four = (mins >> np.uint64(60)).reshape(len(counts), 2, 16)
-    sketch = (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-    return (mins >> np.uint64(28)).astype(np.uint32).view(np.int32), sketch.view(np.int64)
+    return (mins >> np.uint64(28)).astype(np.uint32).view(np.int32)
+
+
+def _level(size_class: np.ndarray) -> np.ndarray:
+    """How often sets of a class are halved before they are sketched."""
+    return np.maximum(0, np.ceil(size_class / 16 - np.log2(SAMPLED))).astype(np.int64)
+
+
+def _sketches(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Odd sketches of the sets of a batch, four words each: every distinct member flips one of
+    ``BITS`` bits, so the sketches of two sets differ by the members that only one has. The last
+    byte is the class of the set's size; members of large sets are sampled by hash."""
+    rows = len(counts)
+    x = (flat ^ (flat >> np.uint64(31))) * _M3
+    owner = np.repeat(np.arange(rows, dtype=np.uint64), counts)
+    both = np.unique(owner << np.uint64(48) | x >> np.uint64(16))
+    owner, x = (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
+    sizes = np.bincount(owner, minlength=rows)
+    classes = np.minimum(np.round(16 * np.log2(np.maximum(sizes, 1))), CLASSES - 1).astype(np.int64)
+    kept = (x >> np.uint64(24)) & ((np.uint64(1) << _level(classes).astype(np.uint64)) - np.uint64(1))[owner] == 0
+    place = owner[kept] * 256 + ((x[kept] & np.uint64((1 << 24) - 1)) % np.uint64(BITS)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256), axis=1)
+    packed[:, 31] = classes
+    return packed.view(np.int64)
+
+
+@lru_cache(maxsize=8)
+def most_bits(threshold: float) -> np.ndarray:
+    """For each two size classes the most bits in which the sketches of sets with a similarity of
+    ``threshold`` may differ, ``DEVIATIONS`` from their mean: -1 if the sizes alone tell that they
+    are less alike, all bits if the sketches say nothing (sampled at different rates)."""
+    c = np.arange(CLASSES)
+    lo, hi, level = 2 ** ((c - 0.5) / 16), 2 ** ((c + 0.5) / 16), _level(c)
+    rate = 0.5 ** level[:, None]
+    differ = (hi[:, None] + hi[None, :]) * (1 - threshold) / (1 + threshold) * rate
+    one, two = (1 - 2 / BITS) ** differ, (1 - 4 / BITS) ** differ
+    deviation = np.sqrt(np.maximum(0, BITS / 4 * (1 - two) + BITS**2 / 4 * (two - one**2)) + one**2 * differ * (1 - rate))
+    most = np.minimum(BITS / 2 * (1 - one) + DEVIATIONS * deviation, BITS)
+    most = np.where((level[:, None] != level[None, :]) | (np.maximum(c[:, None], c[None, :]) == CLASSES - 1), BITS, most)
+    return np.where(threshold * np.maximum(lo[:, None], lo[None, :]) > np.minimum(hi[:, None], hi[None, :]), -1, most).astype(np.int16)
 
 
 def word_sets(df: DataFrame, dropper: LineDropper | None, shingle: int, min_words: int, signed: bool) -> DataFrame:
@@ -100,9 +141,9 @@ def word_sets(df: DataFrame, dropper: LineDropper | None, shingle: int, min_word
             words, lens, rows = words[np.repeat(keep, lens)], lens[keep], np.array(rows, dtype=np.int64)[keep]
             flat, counts, whole = shingle_hashes(words, lens, shingle)
             if signed:
-                vector, sketch = _signatures(flat, counts)
-                cols = [pa.array(rows, pa.int64()), pa.array(whole.view(np.int64)), lists(vector.ravel(), np.full(len(rows), MINHASHES)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
-                yield pa.RecordBatch.from_arrays(cols, names=["row_id", "whole", "mh", "s1", "s2"])
+                vector, sketch = _minhashes(flat, counts), np.ascontiguousarray(_sketches(flat, counts).T)
+                cols = [pa.array(rows, pa.int64()), pa.array(whole.view(np.int64)), lists(vector.ravel(), np.full(len(rows), MINHASHES)), *map(pa.array, sketch)]
+                yield pa.RecordBatch.from_arrays(cols, names=["row_id", "whole", "mh", *SKETCH])
             else:
                 parts = [np.unique(x) for x in np.split((flat >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(counts)[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), lists(np.concatenate(parts), np.array([len(x) for x in parts]))], names=["row_id", "tokens"])
@@ -110,7 +151,7 @@ def word_sets(df: DataFrame, dropper: LineDropper | None, shingle: int, min_word
     df = df.select("row_id", "emetteur", "content", *(["drop"] if "drop" in df.columns else []))
     if "drop" not in df.columns:
         df = df.withColumn("drop", F.lit(None).cast("array<long>"))
-    return df.where("content is not null and row_id is not null").mapInArrow(run, "row_id long, whole long, mh array<int>, s1 long, s2 long" if signed else "row_id long, tokens array<int>")
+    return df.where("content is not null and row_id is not null").mapInArrow(run, f"row_id long, whole long, mh array<int>, {_SKETCHED}" if signed else "row_id long, tokens array<int>")
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -134,7 +175,7 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _entries(rows: DataFrame, widths: tuple[int, ...], counters: int | None = None) -> DataFrame:
-    """An entry (node, row_id, s1, s2) for each node that a row reaches. ``rows`` has the vector,
+    """An entry (node, row_id, sketch) for each node that a row reaches. ``rows`` has the vector,
     and the node from where it walks unless it starts at the roots. With ``counters`` their
     partial sums (c, n) instead."""
     rooted = "node" not in rows.columns
@@ -150,40 +191,42 @@ def _entries(rows: DataFrame, widths: tuple[int, ...], counters: int | None = No
             if counters:
                 total += np.bincount(nodes & (counters - 1), minlength=counters)
             else:
-                rest = [pa.array(np.tile(batch.column(c).to_numpy(), len(paths))) for c in ("row_id", "s1", "s2")]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), *rest], names=["node", "row_id", "s1", "s2"])
+                rest = [pa.array(np.tile(batch.column(c).to_numpy(), len(paths))) for c in ("row_id", *SKETCH)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), *rest], names=["node", "row_id", *SKETCH])
         if counters:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["c", "n"])
 
-    return rows.mapInArrow(run, "c long, n long" if counters else "node long, row_id long, s1 long, s2 long")
+    return rows.mapInArrow(run, "c long, n long" if counters else f"node long, row_id long, {_SKETCHED}")
 
 
-def _meet(entries: DataFrame, misses: int) -> DataFrame:
-    """Pairs ``a < b`` within each node whose sketches agree. Nodes come whole and in order, one
-    behind the other, whatever the batches; a batch ends within a node at most once."""
-    lanes = np.uint64(0x1111111111111111)
+def _meet(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a < b`` within each node whose sketches may be of sets alike. Nodes come whole and in
+    order, one behind the other, whatever the batches; a batch ends within a node at most once."""
+    most, size, sided = most_bits(threshold), np.uint64(0xFF) << np.uint64(56), "side" in entries.columns
 
-    sided = "side" in entries.columns
-
-    def pairs(node: np.ndarray, ids: np.ndarray, s1: np.ndarray, s2: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    def pairs(node: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = [w.view(np.uint64) for w in rest[: len(SKETCH)]]
+        classes = (words[-1] >> np.uint64(56)).astype(np.int64)  # the last byte, as the words are little-endian
+        words[-1] = words[-1] & ~size
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         sizes = np.diff(np.r_[starts, len(node)])
         ends, first = np.repeat(np.r_[starts[1:], len(node)], sizes), np.arange(len(node)) + 1
-        if side is not None:  # rows of side 1 meet those of side 2 only
+        if sided:  # rows of side 1 meet those of side 2 only
+            side = rest[-1]
             second = ends - np.repeat(np.add.reduceat((side == 2).astype(np.int64), starts), sizes)
             first = np.where(side == 0, first, np.where(side == 1, second, ends))
-        rest = ends - first
-        for part in np.array_split(np.flatnonzero(rest), int(rest.sum()) // 2_000_000 + 1):
-            r = rest[part]
+        more = ends - first
+        for part in np.array_split(np.flatnonzero(more), int(more.sum()) // 1_000_000 + 1):
+            r = more[part]
             i = np.repeat(part, r)
             j = np.repeat(first[part], r) + np.arange(len(i)) - np.repeat(np.cumsum(r) - r, r)
-            miss = np.zeros(len(i), dtype=np.uint8)
-            for s in (s1, s2):
-                x = s[i] ^ s[j]
-                x |= x >> np.uint64(2)
-                miss += np.bitwise_count((x | x >> np.uint64(1)) & lanes)
-            i, j = i[miss <= misses], j[miss <= misses]
+            allowed = most[classes[i], classes[j]]
+            i, j, allowed = (x[allowed >= 0] for x in (i, j, allowed))
+            bits = np.zeros(len(i), dtype=np.int16)
+            for w in words:
+                bits += np.bitwise_count(w[i] ^ w[j])
+            i, j = i[bits <= allowed], j[bits <= allowed]
             if len(i):
                 ab = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
@@ -192,7 +235,6 @@ def _meet(entries: DataFrame, misses: int) -> DataFrame:
         left: list[np.ndarray] | None = None
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
-            cols[2:4] = [c.view(np.uint64) for c in cols[2:4]]
             if left is not None:
                 cols = [np.concatenate(x) for x in zip(left, cols)]
             if not len(cols[0]):
@@ -209,29 +251,38 @@ def _meet(entries: DataFrame, misses: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a < b")
 
 
-def candidate_pairs(reps: DataFrame, misses: int = SKETCH_MISSES) -> DataFrame:
+def _heavy(rows: DataFrame, entries: DataFrame, widths: tuple[int, ...], n: int) -> tuple[DataFrame, DataFrame]:
+    """The entries with a column ``c``, and the values of it (c, walks) at which more than ``NODE``
+    rows may meet. Counters of fixed size tell them before any entry is moved; where there are more
+    entries than counters can tell apart, the nodes are counted one by one."""
+    counters = min(max(1 << (n // 64).bit_length(), COUNTERS[0]), COUNTERS[1])
+    if 4 * n <= NODE * counters:
+        counts = _entries(rows, widths, counters).groupBy("c").agg(F.sum("n").alias("n"))
+        entries = entries.withColumn("c", F.col("node").bitwiseAND(F.lit(counters - 1)))
+    else:
+        entries = entries.withColumn("c", F.col("node"))
+        counts = entries.groupBy("c").agg(F.count("*").alias("n"))
+    heavy, _ = sized(counts.where(F.col("n") > NODE).select("c", (F.col("n") > WALK * NODE).alias("walks")))
+    return entries, heavy
+
+
+def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct pairs of representatives that meet in a node and have like sketches.
 
-    ``reps``: row_id, mh, s1, s2; read several times, so a materialised table.
+    ``reps``: row_id, mh and sketch; read several times, so a materialised table.
     """
     found, rows, widths = [], reps, BRANCHES
     n = reps.count() * TREES * int(np.prod(BRANCHES))
     for depth in range(len(BRANCHES), DEPTH + 1):
-        counters = min(max(1 << (n // 64).bit_length(), COUNTERS[0]), COUNTERS[1])
-        # counters of fixed size tell the nodes that may be too large before their rows meet
-        counts = _entries(rows, widths, counters).groupBy("c").agg(F.sum("n").alias("n"))
-        most = max(NODE, 4 * n / counters)
-        heavy = cut(counts.where(F.col("n") > most).select("c", (F.col("n") > WALK * most).alias("walks")))
         entries = _entries(rows, widths)
+        tagged, heavy = _heavy(rows, entries, widths, n)
         if heavy.isEmpty():
-            found.append(_meet(entries, misses))
+            found.append(_meet(entries, threshold))
             break
-        tagged = entries.withColumn("c", F.col("node").bitwiseAND(F.lit(counters - 1)))
-        hot = F.broadcast(heavy)  # at most as many rows as there are counters
-        found.append(_meet(tagged.join(hot, "c", "left_anti").drop("c"), misses))
-        large = tagged.join(hot, "c").select("node", "row_id", "s1", "s2", "walks")
+        found.append(_meet(tagged.join(heavy, "c", "left_anti").drop("c"), threshold))
+        large = tagged.join(heavy, "c").select("node", "row_id", *SKETCH, "walks")
         last = depth == DEPTH or heavy.where("walks").isEmpty()
-        found.append(_meet(_blocks((large if last else large.where("not walks")).drop("walks")), misses))
+        found.append(_meet(_blocks((large if last else large.where("not walks")).drop("walks")), threshold))
         if last:
             break
         rows = cut(large.where("walks").select("node", "row_id").join(reps, "row_id"))
@@ -251,7 +302,7 @@ def _blocks(large: DataFrame) -> DataFrame:
     own = large.join(size, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     own = own.withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("k"), 0).when(F.col("own") < F.col("k"), 1).otherwise(2).alias("side")
-    return own.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "row_id", "s1", "s2", side)
+    return own.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "row_id", *SKETCH, side)
 
 
 def _jaccard_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -287,8 +338,9 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("least"))).distinct()
 
 
-def groups(df: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, drop_lines: bool = True) -> DataFrame:
-    """``(row_id, group)`` of every row that is in a group of two or more.
+def members(df: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, drop_lines: bool = True) -> DataFrame:
+    """``(row_id, whole, group)`` of every row that is in a group of two or more; ``whole`` is the
+    hash of the canonical row, so rows that are equal but for case, punctuation and blanks share it.
 
     ``df`` has row_id, document_id, emetteur, content; other columns are ignored, a row taken in
     twice under one row_id counts once. Two rows are alike if the Jaccard similarity of their
@@ -296,19 +348,25 @@ def groups(df: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD,
     are in one group, named by its least representative. Rows with null content, null row_id or
     fewer than ``min_words`` words are in no group. An empty table gives no rows.
     """
-    dropper = LineDropper(repeated_lines(df)) if drop_lines else None
+    dropper = LineDropper(repeated_lines(df, bands=1)) if drop_lines else None
     ready = dropper.prepare(df) if dropper else df
     rows = cut(word_sets(ready, dropper, shingle, min_words, True))
     first = rows.groupBy("whole").agg(F.min("row_id").alias("rep"), F.max("row_id").alias("last")).where("rep < last").select("whole", "rep")
-    copies = cut(rows.select("row_id", "whole").join(first, "whole").select("row_id", "rep"))
+    copies = cut(rows.select("row_id", "whole").join(first, "whole").select("row_id", "whole", "rep"))
     others, _ = sized(copies.where("row_id <> rep").select("row_id"))
-    reps = rows.join(others, "row_id", "left_anti").select("row_id", "mh", "s1", "s2")
-    pairs = cut(candidate_pairs(reps))
+    reps = rows.join(others, "row_id", "left_anti").select("row_id", "whole", "mh", *SKETCH)
+    pairs = cut(candidate_pairs(reps.drop("whole"), threshold))
     ids, _ = sized(pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
     sets = word_sets(ready.join(ids, "row_id", "left_semi"), dropper, shingle, min_words, False)
     comp = components(_jaccard_pairs(pairs, sets, threshold))
-    near = copies.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("row_id", F.coalesce("least", "rep").alias("group"))
-    return near.unionByName(comp.select(F.col("id").alias("row_id"), F.col("least").alias("group"))).distinct()
+    near = copies.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("row_id", "whole", F.coalesce("least", "rep").alias("group"))
+    single = reps.select("row_id", "whole").join(comp.withColumnRenamed("id", "row_id"), "row_id").select("row_id", "whole", F.col("least").alias("group"))
+    return near.unionByName(single).distinct()
+
+
+def groups(df: DataFrame, **how) -> DataFrame:
+    """``(row_id, group)`` of ``members``."""
+    return members(df, **how).select("row_id", "group").distinct()
 
 
 def group_pairs(members: DataFrame) -> DataFrame:

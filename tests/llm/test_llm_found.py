@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,16 +147,36 @@ def test_p2_hot_nodes_in_blocks_lose_no_pair(spark, monkeypatch):
     want = rows(neardup.candidate_pairs(reps))
     monkeypatch.setattr(neardup, "NODE", 4)
     assert want and rows(neardup.candidate_pairs(reps)) == want
-    node = reps.select(F.lit(7).cast("long").alias("node"), "row_id", "s1", "s2")
+    node = reps.select(F.lit(7).cast("long").alias("node"), "row_id", *neardup.SKETCH)
     monkeypatch.setattr(neardup, "NODE", 16)
-    assert rows(neardup._meet(neardup._blocks(node), 32)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
+    assert rows(neardup._meet(neardup._blocks(node), 0.0)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
 
 
-def test_p2_sketch_keeps_pairs_at_the_threshold():
-    from math import comb
+@pytest.mark.parametrize("size", [30, 110, 200, 400, 900, 5000])
+def test_p2_sketch_keeps_pairs_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    trials, common = 400, 2 * size // 3  # of two sets of one size with a similarity of a half
+    h = rng.integers(0, 1 << 63, size=(trials, 2 * size - common), dtype=np.uint64)
+    far = rng.integers(0, 1 << 63, size=(trials, size), dtype=np.uint64)
+    a, b, c = h[:, :size], h[:, size - common :], np.concatenate([h[:, : size // 10], far[:, size // 10 :]], axis=1)
+    a, b, c = (neardup._sketches(np.repeat(x.ravel(), 2), np.full(trials, 2 * size)).view(np.uint64) for x in (a, b, c))  # members twice
 
-    lanes, miss = neardup.MINHASHES - 3, (1 - neardup.THRESHOLD) * 15 / 16
-    assert sum(comb(lanes, k) * miss**k * (1 - miss) ** (lanes - k) for k in range(neardup.SKETCH_MISSES + 1, lanes + 1)) < 0.002
+    def passed(x, y):
+        x, y = x.copy(), y.copy()
+        kx, ky = (z[:, 3] >> np.uint64(56) for z in (x, y))
+        x[:, 3] ^= kx << np.uint64(56)
+        y[:, 3] ^= ky << np.uint64(56)
+        return (np.bitwise_count(x ^ y).sum(axis=1) <= neardup.most_bits(0.5)[kx.astype(int), ky.astype(int)]).mean()
+
+    assert passed(a, b) >= 0.99 and passed(a, a) == 1 and (size > 150 or passed(a, c) < 0.05)
+
+
+def test_p2_counts_nodes_where_counters_cannot_tell(spark, monkeypatch):
+    reps = neardup.word_sets(spark.createDataFrame(near_data(3, 30), CORPUS), None, 3, 20, True).cache()
+    want = rows(neardup.candidate_pairs(reps))
+    monkeypatch.setattr(neardup, "NODE", 4)
+    monkeypatch.setattr(neardup, "COUNTERS", (16, 16))
+    assert want and rows(neardup.candidate_pairs(reps)) == want
 
 
 def test_components_of_a_chain(spark):
