@@ -6,6 +6,8 @@ function here except counts, which are 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,14 @@ SENTENCE_END = r"[.!?;:»]\s*$"
 HEADER_LINE = r"^[A-ZÉÈÊÀÙÎÔÂÛÏË\d\s\-–—/&]{4,}$"
 
 
-#: Unicode white space; trimming and splitting by it needs no pattern.
+#: Unicode white space: its characters, and a class of them for the JVM's patterns.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def bare(c: Column) -> Column:
@@ -49,7 +57,7 @@ def bare(c: Column) -> Column:
 
 def word_array(c: Column) -> Column:
     """Words between white space; an empty array for blank text."""
-    return F.array_remove(F.split(F.translate(c, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(c, SPACE + "+"), "")
 
 
 def word_count(c: Column) -> Column:
@@ -61,10 +69,13 @@ def alpha_ratio(c: Column) -> Column:
     return F.when(F.length(c) > 0, (F.length(c) - F.length(F.regexp_replace(c, r"\p{L}+", ""))) / F.length(c)).when(c.isNotNull(), 0.0)
 
 
+def _distinct_ratio(words: Column) -> Column:
+    return F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).when(words.isNotNull(), 0.0)
+
+
 def unique_ratio(c: Column) -> Column:
     """Distinct words in lower case by words; 0 for blank text."""
-    w = word_array(F.lower(c))
-    return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).when(c.isNotNull(), 0.0)
+    return let(word_array(F.lower(c)), _distinct_ratio)
 
 
 def sentence_count(c: Column) -> Column:
@@ -72,22 +83,62 @@ def sentence_count(c: Column) -> Column:
     return F.size(F.split(c, "[.!?;]+")).cast("long")
 
 
+def _structural(low: Column) -> Column:
+    return bare(low).rlike("(?U)^(?:" + "|".join(p.removeprefix("^") for p in STRUCTURAL) + ")")
+
+
 def is_structural(c: Column) -> Column:
-    return F.lower(bare(c)).rlike("(?U)^(?:" + "|".join(p.removeprefix("^") for p in STRUCTURAL) + ")")
+    return _structural(F.lower(c))
+
+
+def measures(c: Column) -> Column:
+    """All features of a text as one struct: n_words, alpha_ratio, unique_ratio, n_sentences and
+    structural. The text is put in lower case and taken apart into words once."""
+
+    def of(low: Column, words: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.size(words), F.lit(0)).cast("long").alias("n_words"),
+            alpha_ratio(c).alias("alpha_ratio"),
+            _distinct_ratio(words).alias("unique_ratio"),
+            sentence_count(c).alias("n_sentences"),
+            _structural(low).alias("structural"),
+        )
+
+    return let(F.lower(c), lambda low: let(word_array(low), lambda words: of(low, words)))
+
+
+def _quality(c: Column, low: Column, words: Column) -> Column:
+    """The cheap conditions first, as the first that fails ends the evaluation."""
+    n = F.size(words)
+    ok = n.between(MIN_WORDS, MAX_WORDS) & ~_structural(low) & (sentence_count(c) >= MIN_SENTENCES)
+    return F.coalesce(ok & (_distinct_ratio(words) >= MIN_UNIQUE) & (alpha_ratio(c) >= MIN_ALPHA), F.lit(False))
 
 
 def passes_quality(c: Column) -> Column:
     """The conjunction of the six mechanical filters; null text does not pass."""
-    words = word_count(c)
-    ok = ~is_structural(c) & (alpha_ratio(c) >= MIN_ALPHA) & (unique_ratio(c) >= MIN_UNIQUE)
-    return F.coalesce(ok & words.between(MIN_WORDS, MAX_WORDS) & (sentence_count(c) >= MIN_SENTENCES), F.lit(False))
+    return let(F.lower(c), lambda low: let(word_array(low), lambda words: _quality(c, low, words)))
+
+
+def _density(low: Column, n_words: Column, lexicon: list[str]) -> Column:
+    hits = sum((F.when(F.contains(low, F.lit(k)), 1).otherwise(0) for k in lexicon), F.lit(0))
+    return F.round(hits / F.greatest(n_words, F.lit(1)), 6)
+
+
+def scored(c: Column, quality: bool = True, lexicon: list[str] | None = None) -> Column:
+    """Struct of n_words and density of a text that passes the quality filter, else null; of every
+    text with ``quality`` off."""
+
+    def of(low: Column, words: Column) -> Column:
+        n = F.coalesce(F.size(words), F.lit(0)).cast("long")
+        got = F.struct(n.alias("n_words"), _density(F.coalesce(low, F.lit("")), n, lexicon or LEXICON).alias("density"))
+        return F.when(_quality(c, low, words), got) if quality else got
+
+    return let(F.lower(c), lambda low: let(word_array(low), lambda words: of(low, words)))
 
 
 def density(c: Column, lexicon: list[str] | None = None) -> Column:
     """Terms of the lexicon present as substrings by words, to 6 places; 0 for null text."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    hits = sum((F.when(F.contains(low, F.lit(k)), 1).otherwise(0) for k in lexicon or LEXICON), F.lit(0))
-    return F.round(hits / F.greatest(word_count(c), F.lit(1)), 6)
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda low: _density(low, F.size(word_array(low)).cast("long"), lexicon or LEXICON))
 
 
 def quartile_label(score: Column, cuts: Column) -> Column:

@@ -21,13 +21,11 @@ def type_shares(df: DataFrame, column: str = "type_document", rare: float = RARE
 
 def axes(df: DataFrame, quality: bool = True) -> DataFrame:
     """n_words, density, bucket, doc_group, quartile and stratum of the rows that pass the quality
-    filter. The text is read once: its features are materialised as narrow rows, from which the
-    thresholds and type shares are taken as one-row and few-row side inputs."""
+    filter. The text is read once, in one expression: its features are materialised as narrow
+    rows, from which the thresholds and type shares are taken as one-row and few-row side inputs."""
     df = spread(df.select("row_id", "content", "type_document", "date_envoi"))
-    if quality:
-        df = df.where(text.passes_quality(F.col("content")))
-    df = df.select("row_id", F.coalesce("type_document", F.lit("unknown")).alias("doc_type"), dates.year_bucket(dates.year_of(F.col("date_envoi"))).alias("bucket"), text.word_count(F.col("content")).alias("n_words"), text.density(F.col("content")).alias("density"))
-    df = cut(df)
+    df = df.select("row_id", F.coalesce("type_document", F.lit("unknown")).alias("doc_type"), dates.year_bucket(dates.year_of(F.col("date_envoi"))).alias("bucket"), text.scored(F.col("content"), quality).alias("s"))
+    df = cut(df).where("s is not null").select("row_id", "doc_type", "bucket", "s.n_words", "s.density")
     cuts = df.agg(F.percentile("density", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
     rare = type_shares(df, "doc_type").where("rare").select("doc_type", F.lit(True).alias("is_rare"))
     out = df.crossJoin(F.broadcast(cuts)).join(rare, "doc_type", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -52,19 +51,10 @@ STRATA = f"""with base as (select row_id, {n_words('content')} as n_words, {DENS
     strata as (select *, concat(bucket, '__', substring(regexp_replace(doc_group, '[^a-zA-Z0-9_]', '_', 'g'), 1, 30), '__', quartile) as stratum from axes)"""
 
 
-def features(c: Column) -> list[Column]:
-    return [
-        text.word_count(c).alias("n_words"),
-        F.round(text.alpha_ratio(c), 6).alias("alpha_ratio"),
-        F.round(text.unique_ratio(c), 6).alias("unique_ratio"),
-        text.sentence_count(c).alias("n_sentences"),
-        text.is_structural(c).alias("structural"),
-    ]
-
-
 @query("text_features", f"select row_id, {n_words('content')} as n_words, round({ALPHA}, 6) as alpha_ratio, round({UNIQUE}, 6) as unique_ratio, {SENTENCES} as n_sentences, {STRUCTURAL} as structural from corpus")
 def text_features(spark, d):
-    return spread(bind(spark, d, "corpus").select("row_id", "content")).select("row_id", *features(F.col("content")))
+    m = spread(bind(spark, d, "corpus").select("row_id", "content")).select("row_id", text.measures(F.col("content")).alias("m")).select("row_id", "m.*")
+    return m.withColumns({c: F.round(c, 6) for c in ("alpha_ratio", "unique_ratio")})
 
 
 @query("mechanical_filter", f"select row_id, content from corpus where {QUALITY}")
