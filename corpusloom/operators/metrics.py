@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+from . import stats
+from .taxonomy import EPOCHS, rank
+
 MALFORMED = "PARSE_ERROR"
 FPR_ALERT = 0.30
 MIN_GOLD = 5
@@ -93,12 +97,14 @@ def macro_f1(df: DataFrame, by: list[str], gold: str = "gold_label", pred: str =
     return _averaged(label_f1(df, by, gold, pred), by)
 
 
-def miss_rates(df: DataFrame, epochs: DataFrame, epoch: str = "epoch") -> DataFrame:
+def miss_rates(df: DataFrame, epochs: DataFrame, epoch: str = "epoch", by: list[str] | None = None) -> DataFrame:
     """Per period: relevant gold rows, misses without and with malformed predictions counted as
-    none, and both rates. Periods without rows come out with null rates."""
+    none, and both rates; ``by`` group. Periods without rows come out with null rates."""
+    by = by or []
     rel, bad, none = F.col("gold_label") != "none", F.col("pred_label").isNull(), F.col("pred_label") == "none"
-    got = df.groupBy(epoch).agg(F.count_if(rel).alias("n_relevant"), F.count_if(rel & F.coalesce(none, F.lit(False))).alias("n_missed"), F.count_if(rel & (F.coalesce(none, F.lit(False)) | bad)).alias("n_missed_as_none"))
-    out = epochs.join(got, epoch, "left").na.fill(0, ["n_relevant", "n_missed", "n_missed_as_none"])
+    got = df.groupBy(*by, epoch).agg(F.count_if(rel).alias("n_relevant"), F.count_if(rel & F.coalesce(none, F.lit(False))).alias("n_missed"), F.count_if(rel & (F.coalesce(none, F.lit(False)) | bad)).alias("n_missed_as_none"))
+    every = df.select(*by).distinct().crossJoin(F.broadcast(epochs)) if by else epochs
+    out = every.join(got, [*by, epoch], "left").na.fill(0, ["n_relevant", "n_missed", "n_missed_as_none"])
     return out.withColumns({"fnr": ratio(F.col("n_missed"), F.col("n_relevant")), "fnr_as_none": ratio(F.col("n_missed_as_none"), F.col("n_relevant"))})
 
 
@@ -132,3 +138,33 @@ def majority_baseline(df: DataFrame, column: str) -> DataFrame:
     """Share of the largest class, chance by class, number of classes."""
     c = df.where(F.col(column).isNotNull()).groupBy(column).count()
     return c.agg(ratio(F.max("count"), F.sum("count")).alias("majority"), ratio(F.lit(1), F.count("*")).alias("chance"), F.count("*").alias("n_classes"))
+
+
+def suite(df: DataFrame, gold: str = "gold_label", pred: str = "pred_label", epoch: str = "epoch") -> DataFrame:
+    """One row for each model with all its figures: accuracy, binary precision, recall, F1, kappa and
+    error rates, macro F1 over rich labels, drift of F1 over the periods (difference, least squares
+    and rank correlation with their p, from F1 at three places) and drift of the miss rate.
+
+    The rows are read once, for the counts of their cells (model, period, gold, predicted); all
+    figures come from these counts.
+    """
+    c = cut(df.groupBy("model", F.col(epoch).alias("epoch"), F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("k")))
+    g, p, k = ~F.col("gold").eqNullSafe("none"), ~F.col("pred").eqNullSafe("none"), F.col("k")
+    sums = [F.sum(F.when(x, k).otherwise(0)).alias(n) for n, x in (("tp", g & p), ("fp", ~g & p), ("fn", g & ~p), ("tn", ~g & ~p))]
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    n = tp + fp + fn + tn
+    chance = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)).cast("double") / (n * n)
+    same = F.sum(F.when(F.col("gold").eqNullSafe(F.col("pred")), k).otherwise(0))
+    hits = c.groupBy("model").agg(ratio(same, F.sum("k")).alias("accuracy_labels"))
+    whole = scores(c.groupBy("model").agg(*sums)).withColumn("n", n).withColumn("kappa", F.round(F.try_divide((tp + tn) / n - chance, 1 - chance), 6)).drop("tp", "fp", "fn", "tn")
+    rich = c.groupBy("model", "gold").agg(F.sum("k").alias("_n")).where(F.col("gold").isNotNull() & (F.col("_n") >= MIN_GOLD)).drop("_n")
+    sides = F.array(F.struct(F.col("gold").alias("label"), k.alias("g"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("g"), k.alias("p")))
+    labels = c.join(F.broadcast(rich), ["model", "gold"]).select("model", (F.col("gold").eqNullSafe(F.col("pred"))).alias("same"), F.explode(sides).alias("s")).where("s.label is not null")
+    labels = labels.groupBy("model", "s.label").agg(F.sum(F.when(F.col("same"), F.col("s.g")).otherwise(0)).alias("tp"), F.sum("s.g").alias("n_gold"), F.sum("s.p").alias("n_pred"))
+    series = cut(scores(c.where("epoch is not null").groupBy("model", "epoch").agg(*sums)).select("model", "epoch", F.round("f1", 3).alias("f1"), "fnr", rank(EPOCHS, F.col("epoch")).alias("x")).where("x is not null"))
+    at = lambda e: F.max(F.when(F.col("epoch") == e, F.col("fnr")))
+    missed = series.groupBy("model").agg(F.round(at(EPOCHS[0]) - at(EPOCHS[-1]), 6).alias("fnr_drift"))
+    out = whole
+    for part in (hits, _averaged(labels, ["model"]), stats.drift(series, ["model"], "x", "f1"), stats.spearman(series, ["model"], "x", "f1").drop("n_points"), missed):
+        out = out.join(F.broadcast(part), "model", "left")
+    return out

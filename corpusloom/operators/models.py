@@ -6,8 +6,10 @@ import time
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # What an error message holds when a call may succeed later.
 TRANSIENT = ["rate", "429", "timeout", "overloaded", "503"]
@@ -33,6 +35,63 @@ class KeywordStub:
         return out
 
 
+class Stubborn:
+    """A deterministic annotator for tests that is right after so many corrections as the length of
+    the text, modulo five, says."""
+
+    def __call__(self, text: str, errors: list[str]) -> str:
+        return "score 3" if len(errors) >= len(text) % 5 else "score 9"
+
+    @staticmethod
+    def validate(answer: str) -> list[str]:
+        return [] if answer == "score 3" else ["score invalide"]
+
+
+class Labelled:
+    """A deterministic judge for tests: it answers what a column of the row says."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def of(self, df: DataFrame) -> Column:
+        return F.col(self.column)
+
+
+def both(df: DataFrame, judge, policy, text: str = "content", key: str = "row_id", attempts: int = 3, wait: float = 60.0) -> DataFrame:
+    """``df`` with ``silver_category`` and ``base_category``, the labels of two models for each row.
+    A model is a ``Classifier``, or has ``of(df)``, a column that holds its label. A call that fails
+    leaves a null label, and the row is an error for both."""
+    out = df
+    for name, model in (("silver", judge), ("base", policy)):
+        if hasattr(model, "of"):
+            out = out.withColumn(f"{name}_category", model.of(out))
+        else:
+            got = classify(df, model, key, text, attempts, wait).select(key, F.col("pred_label").alias(f"{name}_category"))
+            out = out.join(got, key, "left")
+    return out
+
+
+class Encoder(Protocol):
+    """Hidden states of a batch of texts: for each an array of layers x tokens x dimensions."""
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]: ...
+
+
+def hidden_states(df: DataFrame, encoder: Encoder, key: str, text: str, pooling: str = "last") -> DataFrame:
+    """``(key, layer, features)``: the states of each layer, of the last token or the mean of all.
+    Null texts have none."""
+    if pooling not in ("last", "mean"):
+        raise ValueError(f"pooling is last or mean, not {pooling}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, states in zip(b[key].tolist(), encoder(b[text].tolist())):
+                pooled = states[:, -1] if pooling == "last" else states.mean(axis=1)
+                yield pd.DataFrame({key: k, "layer": np.arange(len(pooled)), "features": list(pooled.astype(np.float32))})
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, layer long, features array<float>")
+
+
 def retrying(call, attempts: int = 3, wait: float = 60.0, sleep=time.sleep):
     """The result of ``call()``, tried again after a transient error with doubled waits."""
     for k in range(attempts):
@@ -65,18 +124,19 @@ def classify(df: DataFrame, model: Classifier, key: str, text: str, attempts: in
 
 
 def annotate(df: DataFrame, model, validate, key: str, text: str, corrections: int = 2) -> DataFrame:
-    """``(key, answer, errors, tries)``: ``model(text, errors)`` is asked again with the errors that
-    ``validate(answer)`` found, at most ``corrections`` times; the last answer stays with its errors."""
+    """``(key, answer, errors, tries)``: ``model(text, errors)`` is asked again with all errors that
+    ``validate(answer)`` found so far, at most ``corrections`` times; the last answer stays with its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, t in zip(b[key].tolist(), b[text].tolist()):
-                errors: list[str] = []
+                found: list[str] = []
                 for tries in range(1, corrections + 2):
-                    answer = model(t, errors)
+                    answer = model(t, found)
                     if not (errors := validate(answer)):
                         break
+                    found = found + errors
                 rows.append((k, answer, errors, tries))
             yield pd.DataFrame(rows, columns=[key, "answer", "errors", "tries"])
 

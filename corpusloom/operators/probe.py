@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 C, FOLDS = 0.1, 5
+MOST_VECTORS = 100_000  # of a permutation test
 
 
 def layers(df: DataFrame, n: int, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -65,7 +66,10 @@ def cross_validated(df: DataFrame, folds: int = FOLDS) -> DataFrame:
 
 def permutation_test(df: DataFrame, draws: int = 200, folds: int = FOLDS, seed: int = 42) -> DataFrame:
     """``(true_accuracy, null_mean, null_std, p)`` for one layer: p = (null >= true, plus one) by
-    (draws plus one). The labels are permuted within tasks that share the vectors by broadcast."""
+    (draws plus one). The labels are permuted within tasks that share the vectors by broadcast, so
+    more than ``MOST_VECTORS`` of them are an error."""
+    if (n := df.count()) > MOST_VECTORS:
+        raise ValueError(f"{n} vectors, more than the {MOST_VECTORS} that are shared with every task")
     long = _folded(layers(df, 1), folds).orderBy("id").toPandas()
     held = df.sparkSession.sparkContext.broadcast((np.stack(long["features"].to_numpy()).astype(float), np.unique(long["label"].to_numpy().astype(str), return_inverse=True)[1], long["fold"].to_numpy()))
 

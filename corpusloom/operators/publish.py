@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .joins import without
 from .ranking import dense_id, first_of
+from .taxonomy import EPOCHS
 
 
 def clean(df: DataFrame, held_out: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
@@ -22,7 +23,9 @@ def clean(df: DataFrame, held_out: DataFrame | None = None, dedupe: bool = False
 
 def quality(df: DataFrame) -> DataFrame:
     """One row: rows, empty contents, distinct paragraphs, rows beyond the first of each, rows
-    without epoch, and the mean length of content. One aggregation."""
+    without epoch, rows of each known epoch, the mean length of content and, where there is a
+    rationale, how many rows have one. One aggregation."""
+    filled = [F.count_if(F.length(F.trim("chain_of_thought")) > 0).alias("n_rationale")] if "chain_of_thought" in df.columns else []
     return df.agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.coalesce(F.length(F.trim("content")), F.lit(0)) == 0).alias("n_empty"),
@@ -30,4 +33,6 @@ def quality(df: DataFrame) -> DataFrame:
         (F.count("paragraph_id") - F.count_distinct("paragraph_id")).alias("n_repeated"),
         F.count_if(F.col("epoch").isNull()).alias("n_no_epoch"),
         F.round(F.avg(F.length("content")), 6).alias("mean_length"),
+        *[F.count_if(F.trim("epoch") == e).alias(f"n_{e.replace('-', '_')}") for e in EPOCHS],
+        *filled,
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # Shares of candidates by period.
 CANDIDATE_WEIGHTS = {"2010-2014": 0.40, "2015-2019": 0.30, "2020-2022": 0.20, "2023-2026": 0.10}
 
+MOST_STRATA = 1_000_000  # that exact quotas are computed for on the driver
+
 
 def proportional(sizes: DataFrame, total: int, floor: int) -> DataFrame:
     """Adds ``quota``: the share of ``total`` cut to a whole number, at least ``floor``, at most
@@ -17,6 +19,17 @@ def proportional(sizes: DataFrame, total: int, floor: int) -> DataFrame:
     return sizes.withColumn("quota", F.least("size", F.greatest(F.lit(floor).cast("long"), share)))
 
 
+def reduced(sizes: DataFrame, total: int, floor: int) -> DataFrame:
+    """As ``proportional``; if the floors make the quotas sum to more than the total, those above
+    the floor give the excess back in proportion to their size, never below the floor."""
+    q = proportional(sizes, total, floor)
+    w = W.partitionBy(F.lit(1))
+    over = F.sum("quota").over(w) - total
+    above = F.col("quota") > floor
+    cut = F.floor(over * F.col("quota") / F.sum(F.when(above, F.col("quota"))).over(w).cast("double"))
+    return q.withColumn("quota", F.when((over > 0) & above, F.greatest(F.lit(floor), F.col("quota") - cut)).otherwise(F.col("quota")).cast("long"))
+
+
 def weighted(spark: SparkSession, weights: dict[str, float], n: int, part: str = "epoch") -> DataFrame:
     """``(part, quota)``: whole shares of n, at least 1."""
     return spark.createDataFrame([(k, max(1, int(n * w + 1e-6))) for k, w in weights.items()], f"{part} string, quota long")
@@ -54,6 +67,9 @@ def allocate(sizes: dict[str, int], total: int, floor: int) -> dict[str, int]:
 
 def exact(sizes: DataFrame, total: int, floor: int) -> DataFrame:
     """``(stratum, size, quota)`` by ``allocate``, over the collected sizes of the strata."""
-    rows = {r["stratum"]: r["size"] for r in sizes.select("stratum", "size").collect()}
+    some = sizes.select("stratum", "size").limit(MOST_STRATA + 1).collect()
+    if len(some) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata: take reduced(), which never collects")
+    rows = {r["stratum"]: r["size"] for r in some}
     got = allocate(rows, total, floor)
     return sizes.sparkSession.createDataFrame([(s, n, got[s]) for s, n in rows.items()], "stratum string, size long, quota long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 EXACT_BELOW = 25
+MOST_ROWS = 1_000_000  # that are resampled as rows
 
 
 @F.pandas_udf(DoubleType())
@@ -44,14 +45,26 @@ def mcnemar(df: DataFrame, key: str, model: str, correct: str) -> DataFrame:
     got = pairs.groupBy(F.col("a.m").alias("model_a"), F.col("b.m").alias("model_b")).agg(F.count("*").alias("n"), F.count_if(F.expr("a.c and not b.c")).alias("only_a"), F.count_if(F.expr("not a.c and b.c")).alias("only_b"))
     d = F.col("only_a") + F.col("only_b")
     chi = F.try_divide(F.pow(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(2.0)), d)
-    got = got.withColumn("discordant", d).withColumn("test", F.when(d < EXACT_BELOW, "exact").otherwise("chi2")).withColumn("statistic", F.when(d >= EXACT_BELOW, F.round(chi, 6)))
+    got = got.withColumn("discordant", d).withColumn("test", F.when(d < EXACT_BELOW, "exact").otherwise("chi2")).withColumn("statistic", F.when(d >= EXACT_BELOW, chi))
     small = F.when(d < EXACT_BELOW, _binomial_two_sided(F.least("only_a", "only_b"), d))
-    return got.withColumn("p", F.round(F.coalesce(small, _chi2_tail("statistic")), 6))
+    return got.withColumn("p", F.round(F.coalesce(small, _chi2_tail("statistic")), 6)).withColumn("statistic", F.round("statistic", 6))
 
 
 def t_tail(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t for one or two degrees of freedom, in closed form; else null."""
-    return F.when(df == 1, 1 - 2 / math.pi * F.atan(F.abs(t))).when(df == 2, 1 - F.abs(t) / F.sqrt(2 + t * t))
+    """Two-sided p of Student's t for any whole number of degrees of freedom, by the finite series
+    in the angle whose tangent is t over the root of them; null for none."""
+    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    odd = df % 2 == 1
+    square = F.cos(angle) * F.cos(angle)
+    first = F.when(odd, F.cos(angle)).otherwise(F.lit(1.0))
+    n = F.floor((df - 2) / 2).cast("long")  # terms after the first
+    steps = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    zero = F.struct(first.alias("term"), first.alias("sum"))
+    add = lambda a, k: F.struct((a["term"] * ratio(k) * square).alias("term"), (a["sum"] + a["term"] * ratio(k) * square).alias("sum"))
+    total = F.sin(angle) * F.aggregate(steps, zero, add, lambda a: a["sum"])
+    inside = F.when(odd, 2 / math.pi * (angle + F.when(df > 1, total).otherwise(0.0))).otherwise(total)
+    return F.when(df > 0, F.greatest(F.lit(0.0), 1 - inside))
 
 
 def drift(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -71,24 +84,28 @@ def mean_rank(value: str, part: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with three points or more."""
+    """Rank correlation and its p, with three points or more; p of a perfect correlation is 0."""
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", mean_rank(x, by)).withColumn("_y", mean_rank(y, by))
     got = r.groupBy(*by).agg(F.count("*").alias("n_points"), F.corr("_x", "_y").alias("rho"))
-    return got.select(*by, "n_points", F.when(F.col("n_points") >= 3, F.round("rho", 6)).alias("rho"))
+    rho, n = F.col("rho"), F.col("n_points")
+    p = F.when(F.abs(rho) > 1 - 1e-12, 0.0).otherwise(t_tail(rho * F.sqrt((n - 2) / ((1 - rho) * (1 + rho))), n - 2))
+    return got.select(*by, "n_points", *[F.when(n >= 3, F.round(v, 6)).alias(c) for c, v in (("rho", rho), ("p_rho", p))])
 
 
-def bootstrap(df: DataFrame, cells: list[str], metric: Callable[[np.ndarray], np.ndarray], draws: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap(df: DataFrame, cells: list[str], metric: Callable[[np.ndarray], np.ndarray], draws: int = 2000, seed: int = 42, level: float = 0.95, by: str | None = None) -> DataFrame:
     """Percentile interval of a metric under resampling n rows of n.
 
     A metric of labels depends on the counts of its cells (gold by predicted) only, and the counts
     of a resample are multinomial, so only the cells are resampled, never the rows: the work is
     draws times cells, whatever n. ``metric`` maps an array of counts (draws x cells) to values;
-    resamples where it is undefined are left out, and at least half must be defined.
+    resamples where it is undefined are left out, and at least half must be defined. ``by``: one
+    interval for each value of a string column.
     """
-    counts = df.groupBy(*cells).agg(F.count("*").alias("n")).orderBy(*cells)
-    names = [c for c in counts.columns if c != "n"]
+    counts = df.groupBy(*([by] if by else []), *cells).agg(F.count("*").alias("n"))
+    names = cells
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(cells)
         n = pdf["n"].to_numpy()
         rng = np.random.default_rng(seed)
         keys = [tuple(r) for r in pdf[names].itertuples(index=False)]
@@ -96,9 +113,11 @@ def bootstrap(df: DataFrame, cells: list[str], metric: Callable[[np.ndarray], np
         values = metric(rng.multinomial(n.sum(), n / n.sum(), size=draws), keys)
         values = values[~np.isnan(values)]
         lo, hi = np.percentile(values, [50 * (1 - level), 50 * (1 + level)]) if 2 * len(values) >= draws else (None, None)
-        return pd.DataFrame({"n": [int(n.sum())], "value": [float(point)], "low": [lo], "high": [hi]})
+        out = pd.DataFrame({"n": [int(n.sum())], "value": [float(point)], "low": [lo], "high": [hi]})
+        return out.assign(**{by: pdf[by].iloc[0]}) if by else out
 
-    return counts.groupBy(F.lit(1).alias("_one")).applyInPandas(run, "n long, value double, low double, high double")
+    schema = "n long, value double, low double, high double" + (f", {by} string" if by else "")
+    return counts.groupBy(by or F.lit(1).alias("_one")).applyInPandas(run, schema)
 
 
 def kappa_of_cells(counts: np.ndarray, keys: list[tuple]) -> np.ndarray:
@@ -121,7 +140,9 @@ def f1_of_cells(counts: np.ndarray, keys: list[tuple]) -> np.ndarray:
 
 def bootstrap_rows(df: DataFrame, metric: Callable[[pd.DataFrame], float], draws: int = 200, seed: int = 42) -> DataFrame:
     """``(draw, value)`` of any metric of whole rows, for metrics that no cells carry. The rows must
-    fit one task; every draw is a task of its own."""
+    fit one task, so more than ``MOST_ROWS`` are an error; every draw is a task of its own."""
+    if (n := df.count()) > MOST_ROWS:
+        raise ValueError(f"{n} rows, more than {MOST_ROWS}: resample the cells of the metric with bootstrap()")
     held = df.sparkSession.sparkContext.broadcast(df.toPandas())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

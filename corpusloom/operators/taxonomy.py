@@ -22,16 +22,27 @@ CATEGORIES = [
     ("S4", "social", "Consommateurs et utilisateurs finaux"),
     ("G1", "governance", "Conduite des affaires"),
 ]
-# How many numbered disclosure codes each category has, and the named ones.
-NUMBERED = {"E1": 9, "E2": 6, "E3": 5, "E4": 5, "E5": 6, "S1": 17, "S2": 5, "S3": 5, "S4": 5, "G1": 6}
-NAMED = {"none": ["none"], "ESRS2": ["ESRS2-GOV", "ESRS2-SBM", "ESRS2-IRO", "ESRS2-MDR"]}
+# The disclosure codes of each category.
+SUBCODES = {
+    "none": ["none"],
+    "ESRS2": ["ESRS2-GOV", "ESRS2-SBM", "ESRS2-IRO", "ESRS2-MDR"],
+    "E1": ["E1-1", "E1-2", "E1-3", "E1-4", "E1-5", "E1-6", "E1-7", "E1-8", "E1-9"],
+    "E2": ["E2-1", "E2-2", "E2-3", "E2-4", "E2-5", "E2-6"],
+    "E3": ["E3-1", "E3-2", "E3-3", "E3-4", "E3-5"],
+    "E4": ["E4-1", "E4-2", "E4-3", "E4-4", "E4-5"],
+    "E5": ["E5-1", "E5-2", "E5-3", "E5-4", "E5-5", "E5-6"],
+    "S1": ["S1-1", "S1-2", "S1-3", "S1-4", "S1-5", "S1-6", "S1-7", "S1-8", "S1-9", "S1-10", "S1-11", "S1-12", "S1-13", "S1-14", "S1-15", "S1-16", "S1-17"],
+    "S2": ["S2-1", "S2-2", "S2-3", "S2-4", "S2-5"],
+    "S3": ["S3-1", "S3-2", "S3-3", "S3-4", "S3-5"],
+    "S4": ["S4-1", "S4-2", "S4-3", "S4-4", "S4-5"],
+    "G1": ["G1-1", "G1-2", "G1-3", "G1-4", "G1-5", "G1-6"],
+}
 # Ordinal scales.
 SURPRISE = ["aucune", "faible", "partielle", "forte"]
 HORIZONS = ["immediat", "court_terme", "moyen_terme", "long_terme"]
 EPOCHS = ["2010-2014", "2015-2019", "2020-2022", "2023-2026"]
 
 CODES = [c for c, _, _ in CATEGORIES]
-SUBCODES = NAMED | {c: [f"{c}-{i}" for i in range(1, n + 1)] for c, n in NUMBERED.items()}
 
 
 def pillar(code: Column) -> Column:
@@ -88,3 +99,8 @@ def batch_report(df: DataFrame) -> DataFrame:
     """``(error, n)`` over rows with an ``errors`` column, plus the number of valid rows as ``valide``."""
     one = df.select(F.explode(F.when(F.size("errors") == 0, F.array(F.lit("valide"))).otherwise(F.col("errors"))).alias("error"))
     return one.groupBy("error").agg(F.count("*").alias("n"))
+
+
+def first_invalid(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """``(key, errors)`` of the first n rows that break a rule."""
+    return df.where(F.size("errors") > 0).select(key, "errors").orderBy(key).limit(n)

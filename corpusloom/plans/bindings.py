@@ -27,11 +27,17 @@ VIEWS = {
         from (select *, (row_id * (2 * m + 5) + m * 7) % 17 as h,
                 case when row_id % 10 < 6 then 'none' else {pick(CODES, "row_id % 12")} end as gold
             from {{corpus}} cross join (select 1 as m union all select 2 union all select 3) models) p""",
+    # three models' labels of the held-out rows, mostly right
+    "gold_predictions": f"""
+        select row_id, csrd_category as gold_label, concat('m', cast(m as string)) as model,
+            case when (row_id * (2 * m + 1) + m) % 19 = 0 then 'none' when (row_id + 3 * m) % 23 = 0 then 'E1' else csrd_category end as pred_label
+        from {{gold}} cross join (select 1 as m union all select 2 union all select 3) models where csrd_category is not null""",
     # two annotators of the same rows
     "annotations": f"""
         select row_id, content, who, csrd_category, concat(csrd_category, '-', cast(k % 7 as string)) as esrs_subcategory,
             case when csrd_category = 'none' then 0 else (row_id * 7 + k) % 6 end as score,
             case when (row_id + k) % 4 = 0 then 'oui' when (row_id + k) % 4 = 1 then 'Non' when (row_id + k) % 4 = 2 then '1' else '' end as financial,
+            case when (row_id * 2 + k) % 5 < 2 then 'vrai' when (row_id * 2 + k) % 5 < 4 then 'faux' end as impact,
             {pick(SURPRISE, "(row_id * 3 + k) % 4")} as surprise,
             case when (row_id + k) % 11 = 0 then null else {pick(HORIZONS, "(row_id + k) % 4")} end as horizon
         from (select *, case when row_id % 5 < 2 then 'none' else {pick(CODES, "(row_id + k) % 12")} end as csrd_category
@@ -81,7 +87,7 @@ VIEWS = {
             replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '</p><script>var a = 1;</script><footer>pied</footer></body></html>') as html
         from {documents}""",
 }
-SOURCES = {"pages": "documents"}
+SOURCES = {"pages": "documents", "gold_predictions": "gold"}
 
 
 def _of(name: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement, metrics, stats
 from ..operators.filters import without_errors
 from ..operators.joins import paired
-from ..operators.taxonomy import CODES, EPOCHS, HORIZONS, SURPRISE, rank
+from ..operators.taxonomy import CATEGORIES, CODES, EPOCHS, HORIZONS, SURPRISE, rank
 from .bindings import bind, cte
 from .registry import query
 
@@ -103,11 +103,11 @@ def ovr_prf(spark, d):
     return metrics.label_f1(ok(spark, d), ["model"])
 
 
-@query("fnr_by_epoch", P + f""", g as (select epoch, cast(sum(case when gold_label <> 'none' then 1 else 0 end) as bigint) as r, cast(sum(case when gold_label <> 'none' and pred_label = 'none' then 1 else 0 end) as bigint) as m,
-        cast(sum(case when gold_label <> 'none' and coalesce(pred_label, 'none') = 'none' then 1 else 0 end) as bigint) as mn from predictions where model = 'm1' group by epoch)
-    select e.epoch, coalesce(r, 0) as n_relevant, coalesce(m, 0) as n_missed, coalesce(mn, 0) as n_missed_as_none, {div('m', 'r')} as fnr, {div('mn', 'r')} as fnr_as_none from {_EP} left join g on e.epoch = g.epoch""")
+@query("fnr_by_epoch", P + f""", g as (select model, epoch, cast(sum(case when gold_label <> 'none' then 1 else 0 end) as bigint) as r, cast(sum(case when gold_label <> 'none' and pred_label = 'none' then 1 else 0 end) as bigint) as m,
+        cast(sum(case when gold_label <> 'none' and coalesce(pred_label, 'none') = 'none' then 1 else 0 end) as bigint) as mn from predictions group by model, epoch), k as (select distinct model from predictions)
+    select k.model, e.epoch, coalesce(r, 0) as n_relevant, coalesce(m, 0) as n_missed, coalesce(mn, 0) as n_missed_as_none, {div('m', 'r')} as fnr, {div('mn', 'r')} as fnr_as_none from k cross join {_EP} left join g on e.epoch = g.epoch and k.model = g.model""")
 def fnr_by_epoch(spark, d):
-    return metrics.miss_rates(bind(spark, d, "predictions").where("model = 'm1'"), epochs(spark))
+    return metrics.miss_rates(bind(spark, d, "predictions"), epochs(spark), by=["model"])
 
 
 _FPR = "cast(sum(case when gold_label = 'none' then 1 else 0 end) as bigint) as n_none, cast(sum(case when gold_label = 'none' and pred_label <> 'none' then 1 else 0 end) as bigint) as n_label, cast(sum(case when gold_label = 'none' and pred_label is null then 1 else 0 end) as bigint) as n_malformed"
@@ -158,7 +158,7 @@ def fnr_tidy(spark, d):
 
 
 # agreement
-_J = cte("annotations") + """, j as (select h.row_id, h.csrd_category as a, m.csrd_category as b, cast(h.score as int) as sa, cast(m.score as int) as sb, h.surprise as ua, m.surprise as ub, h.horizon as ha, m.horizon as hb
+_J = cte("annotations") + """, j as (select h.row_id, h.csrd_category as a, m.csrd_category as b, h.esrs_subcategory as ea, m.esrs_subcategory as eb, h.financial as fa, m.financial as fb, h.impact as ia, m.impact as ib, cast(h.score as int) as sa, cast(m.score as int) as sb, h.surprise as ua, m.surprise as ub, h.horizon as ha, m.horizon as hb
     from annotations h join annotations m on h.row_id = m.row_id where h.who = 'human' and m.who = 'model')"""
 
 
@@ -207,11 +207,29 @@ def _rank_sql(scale: list[str], c: str) -> str:
 _BAND = "case when kappa is null then 'undefined' when kappa < 0 then 'poor (worse than chance)' when kappa < 0.2 then 'slight' when kappa < 0.4 then 'fair' when kappa < 0.6 then 'moderate' when kappa < 0.8 then 'substantial' else 'almost perfect' end as band"
 
 
-@query("iaa_report", _J + ", n1 as (with " + _kappa_sql("select 'category' as variable, a, b from j", "nominal") + " select * from k), o1 as (with " + _kappa_sql(f"select 'score' as variable, sa as a, sb as b from j union all select 'surprise', {_rank_sql(SURPRISE, 'ua')}, {_rank_sql(SURPRISE, 'ub')} from j union all select 'horizon', {_rank_sql(HORIZONS, 'ha')}, {_rank_sql(HORIZONS, 'hb')} from j", "quadratic") + f" select * from k) select variable, n, agreement, kappa, {_BAND} from (select * from n1 union all select * from o1) z")
+def _pillar_sql(c: str) -> str:
+    return f"case {c} " + " ".join(f"when '{k}' then '{p}'" for k, p, _ in CATEGORIES) + " else 'unknown' end"
+
+
+def _bool_sql(c: str) -> str:
+    return f"case when lower(trim({c})) in ('oui', 'true', '1', 'vrai', 'yes') then 'true' when lower(trim({c})) in ('non', 'false', '0', 'faux', 'no') then 'false' end"
+
+
+_BOTH = "case when a <> 'none' and b <> 'none' then {} end"
+_NOMINAL = [
+    ("category", "a", "b"), ("pillar", _pillar_sql("a"), _pillar_sql("b")), ("subcategory", "coalesce(nullif(ea, ''), 'n/a')", "coalesce(nullif(eb, ''), 'n/a')"), ("subcategory_conditional", _BOTH.format("ea"), _BOTH.format("eb")),
+    ("financial", _bool_sql("fa"), _bool_sql("fb")), ("impact", _bool_sql("ia"), _bool_sql("ib")), ("horizon", "coalesce(nullif(ha, ''), 'n/a')", "coalesce(nullif(hb, ''), 'n/a')"),
+]
+_ORDINAL = [("score", "sa", "sb"), ("surprise", _rank_sql(SURPRISE, "ua"), _rank_sql(SURPRISE, "ub")), ("horizon_conditional", _rank_sql(HORIZONS, "ha"), _rank_sql(HORIZONS, "hb"))]
+
+
+def _each(variables: list[tuple[str, str, str]]) -> str:
+    return " union all ".join(f"select '{v}' as variable, {a} as a, {b} as b from j" for v, a, b in variables)
+
+
+@query("iaa_report", _J + ", n1 as (with " + _kappa_sql(_each(_NOMINAL), "nominal") + " select * from k), o1 as (with " + _kappa_sql(_each(_ORDINAL), "quadratic") + f" select * from k) select variable, n, agreement, kappa, {_BAND} from (select * from n1 union all select * from o1) z")
 def iaa_report(spark, d):
-    j = _joined(spark, d)
-    two = lambda c, f=lambda x: x: (f(F.col(f"{c}_human")), f(F.col(f"{c}_model")))
-    return agreement.report(j, {"category": two("csrd_category")}, {"score": two("score"), "surprise": two("surprise", lambda x: rank(SURPRISE, x)), "horizon": two("horizon", lambda x: rank(HORIZONS, x))})
+    return agreement.ten_variables(_joined(spark, d), ("human", "model"), {"surprise": SURPRISE, "horizon": HORIZONS})
 
 
 @query("disagreements", _J + " select row_id, concat_ws(',', case when a is distinct from b then 'csrd_category' end, case when sa is distinct from sb then 'score' end, case when ha is distinct from hb then 'horizon' end) as differs from j where a is distinct from b or sa is distinct from sb or ha is distinct from hb")
@@ -230,39 +248,51 @@ def mcnemar_counts(spark, d):
     return mcnemar_pairs(spark, d).select("model_a", "model_b", "n", "only_a", "only_b")
 
 
-@query("mcnemar_exact", _ALL + """, t as (select a.model as model_a, b.model as model_b, sum(case when a.c and not b.c then 1 else 0 end) as x, sum(case when not a.c and b.c then 1 else 0 end) as y from s a join s b on a.row_id = b.row_id and a.model < b.model where a.row_id % 89 = 7 group by 1, 2),
+@query("mcnemar_exact", cte("gold_predictions") + f""", s as (select row_id, model, {_CORRECT} as c from gold_predictions), t as (select a.model as model_a, b.model as model_b, sum(case when a.c and not b.c then 1 else 0 end) as x, sum(case when not a.c and b.c then 1 else 0 end) as y from s a join s b on a.row_id = b.row_id and a.model < b.model group by 1, 2),
     k as (select *, x + y as d, least(x, y) as m from t where x + y < 25)
     select model_a, model_b, round(least(1.0, 2 * (select sum(gamma(d + 1) / (gamma(i + 1) * gamma(d - i + 1))) from range(0, cast(m as bigint) + 1) r(i)) * power(0.5, d)), 6) as p from k""")
 def mcnemar_exact(spark, d):
-    p = ok(spark, d)
-    ids = p.groupBy("row_id").agg(F.count_distinct("model").alias("k")).where("k = 3 and row_id % 89 = 7").select("row_id")
-    return stats.mcnemar(_scored(p.join(ids, "row_id")), "row_id", "model", "correct").where("discordant < 25").select("model_a", "model_b", "p")
+    """The held-out rows are few, so few of them are discordant."""
+    return stats.mcnemar(_scored(bind(spark, d, "gold_predictions")), "row_id", "model", "correct").where("discordant < 25").select("model_a", "model_b", "p")
 
 
 def _scored(p):
     return p.withColumn("correct", ~F.col("gold_label").eqNullSafe("none") == ~F.col("pred_label").eqNullSafe("none"))
 
 
-@query("mcnemar_pairs")
+@query("mcnemar_pairs", _ALL + """, t as (select a.model as model_a, b.model as model_b, count(*) as n, cast(sum(case when a.c and not b.c then 1 else 0 end) as bigint) as only_a, cast(sum(case when not a.c and b.c then 1 else 0 end) as bigint) as only_b from s a join s b on a.row_id = b.row_id and a.model < b.model group by 1, 2),
+    k as (select *, only_a + only_b as discordant, case when only_a + only_b >= 25 then power(abs(only_a - only_b) - 1, 2) / cast(only_a + only_b as double) end as x from t),
+    z as (select *, sqrt(x / 2) as v from k)
+    select model_a, model_b, n, only_a, only_b, discordant, case when discordant < 25 then 'exact' else 'chi2' end as test, round(x, 6) as statistic,
+        round(case when discordant < 25 then least(1.0, 2 * (select sum(gamma(discordant + 1) / (gamma(i + 1) * gamma(discordant - i + 1))) from range(0, least(only_a, only_b) + 1) r(i)) * power(0.5, discordant))
+            else case when v < 3 then 1 - 2 / sqrt(pi()) * exp(-v * v) * (select sum(term) from (select exp(i * ln(2.0) + (2 * i + 1) * ln(greatest(v, 1e-300)) - sum(ln(2 * i + 1)) over (order by i)) as term from range(0, 200) r(i)) q) else 0 end end, 6) as p from z""")
 def mcnemar_pairs(spark, d):
     return stats.mcnemar(_scored(ok(spark, d)), "row_id", "model", "correct")
 
 
-_SERIES = OK + f", c as (select model, epoch, {CELLS} from ok where epoch is not null group by model, epoch), y as (select model, case epoch " + " ".join(f"when '{e}' then {i}" for i, e in enumerate(EPOCHS)) + f" end as x, {div0('2 * tp', '2 * tp + fp + fn')} as f1, {div('fn', 'tp + fn')} as fnr, epoch from c)"
+_SERIES = OK + f", c as (select model, epoch, {CELLS} from ok where epoch is not null group by model, epoch), y as (select model, case epoch " + " ".join(f"when '{e}' then {i}" for i, e in enumerate(EPOCHS)) + f" end as x, round({div0('2 * tp', '2 * tp + fp + fn')}, 3) as f1, {div('fn', 'tp + fn')} as fnr, epoch from c)"
 _T = "sqrt(r2 * (n - 2) / nullif(1 - r2, 0))"
+_TR = "rho * sqrt((n_points - 2) / ((1 - rho) * (1 + rho)))"
+
+
+def _tail(t: str, n: str) -> str:
+    """Two-sided p of Student's t for n points, three or four."""
+    return f"case when {n} = 4 then 1 - abs({t}) / sqrt(2 + ({t}) * ({t})) when {n} = 3 then 1 - 2 / pi() * atan(abs({t})) end"
+
+
 
 
 def _series(spark, d):
-    s = metrics.scores(metrics.relevance(ok(spark, d).where("epoch is not null"), ["model", "epoch"]))
+    s = metrics.scores(metrics.relevance(ok(spark, d).where("epoch is not null"), ["model", "epoch"])).withColumn("f1", F.round("f1", 3))
     return s.withColumn("x", rank(EPOCHS, F.col("epoch")))
 
 
-@query("ols_drift", _SERIES + f", r as (select model, count(*) as n, arg_max(f1, x) - arg_min(f1, x) as td, regr_slope(f1, x) as slope, regr_r2(f1, x) as r2 from y group by model) select model, n as n_points, round(td, 6) as td, round(slope, 6) as slope, round(r2, 6) as r2, round(case when n = 4 then 1 - abs({_T}) / sqrt(2 + ({_T}) * ({_T})) when n = 3 then 1 - 2 / pi() * atan(abs({_T})) end, 6) as p_ols from r where n >= 3")
+@query("ols_drift", _SERIES + f", r as (select model, count(*) as n, arg_max(f1, x) - arg_min(f1, x) as td, regr_slope(f1, x) as slope, regr_r2(f1, x) as r2 from y group by model) select model, n as n_points, round(td, 6) as td, round(slope, 6) as slope, round(r2, 6) as r2, round({_tail(_T, 'n')}, 6) as p_ols from r where n >= 3")
 def ols_drift(spark, d):
     return stats.drift(_series(spark, d), ["model"], "x", "f1")
 
 
-@query("spearman_drift", _SERIES + ", r as (select model, rank() over (partition by model order by x) + (count(*) over (partition by model, x) - 1) / 2.0 as rx, rank() over (partition by model order by f1) + (count(*) over (partition by model, f1) - 1) / 2.0 as ry from y) select model, count(*) as n_points, round(corr(rx, ry), 6) as rho from r group by model")
+@query("spearman_drift", _SERIES + ", r as (select model, rank() over (partition by model order by x) + (count(*) over (partition by model, x) - 1) / 2.0 as rx, rank() over (partition by model order by f1) + (count(*) over (partition by model, f1) - 1) / 2.0 as ry from y), k as (select model, count(*) as n_points, corr(rx, ry) as rho from r group by model) select model, n_points, round(rho, 6) as rho, round(case when abs(rho) > 1 - 1e-12 then 0 else " + _tail(_TR, "n_points") + " end, 6) as p_rho from k")
 def spearman_drift(spark, d):
     return stats.spearman(_series(spark, d), ["model"], "x", "f1")
 
@@ -274,18 +304,40 @@ def fnr_drift(spark, d):
     return v.select("model", F.round("dr", 6).alias("fnr_drift"), F.when(F.col("dr") > 0.08, "strong").when(F.col("dr") > 0, "weak").otherwise("none").alias("verdict"))
 
 
+def _suite_sql() -> str:
+    return OK + f""", c as (select model, {CELLS} from ok group by model), b as (select model, tp + fp + fn + tn as n, {SCORES},
+            ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / cast((tp + fp + fn + tn) * (tp + fp + fn + tn) as double) as pe, (tp + tn) / cast(tp + fp + fn + tn as double) as po from c),
+        h as (select model, {div('sum(case when gold_label is not distinct from pred_label then 1 else 0 end)', 'count(*)')} as accuracy_labels from ok group by model),
+        rich as (select model, gold_label from ok where gold_label is not null group by model, gold_label having count(*) >= 5), kept as (select ok.* from ok join rich on ok.model = rich.model and ok.gold_label = rich.gold_label), {_label_f1('kept', 'model')},
+        f as (select model, round(avg(coalesce(cast(2 * tp as double) / nullif(n_gold + n_pred, 0), 0.0)), 6) as macro_f1, count(*) as n_labels from l group by model),
+        ce as (select model, epoch, {CELLS} from ok where epoch is not null group by model, epoch), y as (select model, case epoch {' '.join(f"when '{e}' then {i}" for i, e in enumerate(EPOCHS))} end as x, round({div0('2 * tp', '2 * tp + fp + fn')}, 3) as f1, {div('fn', 'tp + fn')} as fnr, epoch from ce),
+        o as (select model, count(*) as n, arg_max(f1, x) - arg_min(f1, x) as td, regr_slope(f1, x) as slope, regr_r2(f1, x) as r2 from y where x is not null group by model),
+        d as (select model, n as n_points, round(td, 6) as td, round(slope, 6) as slope, round(r2, 6) as r2, round({_tail(_T, 'n')}, 6) as p_ols from o),
+        r as (select model, rank() over (partition by model order by x) + (count(*) over (partition by model, x) - 1) / 2.0 as rx, rank() over (partition by model order by f1) + (count(*) over (partition by model, f1) - 1) / 2.0 as ry from y where x is not null),
+        q as (select model, count(*) as n_points, corr(rx, ry) as rho from r group by model), s as (select model, round(rho, 6) as rho, round(case when abs(rho) > 1 - 1e-12 then 0 else {_tail(_TR, 'n_points')} end, 6) as p_rho from q),
+        v as (select model, round(max(case when epoch = '{EPOCHS[0]}' then fnr end) - max(case when epoch = '{EPOCHS[-1]}' then fnr end), 6) as fnr_drift from y group by model)
+        select b.model, n, accuracy, precision, recall, f1, fnr, fpr, round((po - pe) / nullif(1 - pe, 0), 6) as kappa, accuracy_labels, macro_f1, n_labels, n_points, td, slope, r2, p_ols, rho, p_rho, fnr_drift
+        from b left join h using (model) left join f using (model) left join d using (model) left join s using (model) left join v using (model)"""
+
+
+@query("metrics_suite", _suite_sql())
+def metrics_suite(spark, d):
+    return metrics.suite(ok(spark, d))
+
+
+def _flags(spark, d):
+    p = metrics.with_policy(ok(spark, d), "as_none")
+    return p.select("model", (F.col("gold_label") != "none").cast("int").alias("g"), (F.col("pred_label") != "none").cast("int").alias("p"))
+
+
 @query("bootstrap_kappa_ci")
 def bootstrap_kappa_ci(spark, d):
-    p = metrics.with_policy(ok(spark, d).where("model = 'm1'"), "as_none")
-    flags = p.select((F.col("gold_label") != "none").cast("int").alias("g"), (F.col("pred_label") != "none").cast("int").alias("p"))
-    return stats.bootstrap(flags, ["g", "p"], stats.kappa_of_cells)
+    return stats.bootstrap(_flags(spark, d), ["g", "p"], stats.kappa_of_cells, by="model")
 
 
 @query("bootstrap_f1_ci")
 def bootstrap_f1_ci(spark, d):
-    p = metrics.with_policy(ok(spark, d).where("model = 'm1'"), "as_none")
-    flags = p.select((F.col("gold_label") != "none").cast("int").alias("g"), (F.col("pred_label") != "none").cast("int").alias("p"))
-    return stats.bootstrap(flags, ["g", "p"], stats.f1_of_cells)
+    return stats.bootstrap(_flags(spark, d), ["g", "p"], stats.f1_of_cells, by="model")
 
 
 @query("majority_baseline", "with c as (select csrd_category, count(*) as n from gold where csrd_category is not null group by csrd_category) select round(max(n) / cast(sum(n) as double), 6) as majority, round(1.0 / count(*), 6) as chance, count(*) as n_classes from c")
@@ -293,7 +345,7 @@ def majority_baseline(spark, d):
     return metrics.majority_baseline(bind(spark, d, "gold"), "csrd_category")
 
 
-@query("quality_report", "select count(*) as n_rows, cast(sum(case when coalesce(length(trim(content)), 0) = 0 then 1 else 0 end) as bigint) as n_empty, count(distinct paragraph_id) as n_paragraphs, count(paragraph_id) - count(distinct paragraph_id) as n_repeated, cast(sum(case when epoch is null then 1 else 0 end) as bigint) as n_no_epoch, round(avg(length(content)), 6) as mean_length from corpus")
+@query("quality_report", "select count(*) as n_rows, cast(sum(case when coalesce(length(trim(content)), 0) = 0 then 1 else 0 end) as bigint) as n_empty, count(distinct paragraph_id) as n_paragraphs, count(paragraph_id) - count(distinct paragraph_id) as n_repeated, cast(sum(case when epoch is null then 1 else 0 end) as bigint) as n_no_epoch, round(avg(length(content)), 6) as mean_length, " + ", ".join(f"cast(sum(case when trim(epoch) = '{e}' then 1 else 0 end) as bigint) as n_{e.replace('-', '_')}" for e in EPOCHS) + " from corpus")
 def quality_report(spark, d):
     from ..operators.publish import quality
 

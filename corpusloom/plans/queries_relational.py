@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -180,10 +182,12 @@ def iaa_flag(spark, d):
     return joins.flag(bind(spark, d, "corpus"), bind(spark, d, "splits").where("lower(trim(split)) = 'test'"), "row_id", "iaa_subset").select("row_id", "iaa_subset")
 
 
-@query("union_predictions", cte("predictions") + " select model, count(*) as n from predictions where model in ('m1', 'm2') group by model")
+@query("union_predictions", cte("predictions") + " select model, count(*) as n from predictions group by model")
 def union_predictions(spark, d):
+    """The tables of all models as one."""
     p = bind(spark, d, "predictions")
-    return p.where("model = 'm1'").unionByName(p.where("model = 'm2'")).groupBy("model").agg(F.count("*").alias("n"))
+    parts = [p.where(F.col("model") == m).drop("model").withColumn("model", F.lit(m)) for m in ("m1", "m2", "m3")]
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("model").agg(F.count("*").alias("n"))
 
 
 @query("id_set_operations", "select 'both' as op, count(*) as n from (select paragraph_id from corpus intersect select paragraph_id from pairs) union all select 'only_corpus', count(*) from (select paragraph_id from corpus except select paragraph_id from pairs)")
@@ -249,6 +253,7 @@ def weighted_candidates(spark, d):
 
 @query("fewshot_pick", "select row_id, csrd_category from (select row_id, csrd_category, row_number() over (partition by csrd_category order by row_id) as r from gold where csrd_category is not null) g where r = 1 order by csrd_category limit 5")
 def fewshot_pick(spark, d):
+    """One held-out row of each of the first categories."""
     return ranking.one_of_each(bind(spark, d, "gold"), "csrd_category", ["row_id"], 5).select("row_id", "csrd_category")
 
 

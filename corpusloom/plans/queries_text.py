@@ -137,7 +137,7 @@ def lenient_date(spark, d):
     blocks as (select row_id, g, string_agg(x, ' ' order by i) as block, min(i) as first_line from b where not blank group by row_id, g)
     select row_id, cast(row_number() over (partition by row_id order by first_line) - 1 as bigint) as block_no, block from blocks""")
 def paragraph_rebuild(spark, d):
-    c = bind(spark, d, "corpus").where("content is not null")
+    c = spread(bind(spark, d, "corpus").where("content is not null").select("row_id", "content"))
     out = c.select("row_id", F.posexplode(text.rebuild_blocks(F.col("content"))).alias("block_no", "block"))
     return out.withColumn("block_no", F.col("block_no").cast("long"))
 
@@ -163,13 +163,13 @@ _PARTS = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'),
     c as (select doc_id, done as chunk from f where done is not null union all select doc_id, cur from (select *, row_number() over (partition by doc_id order by i desc) as r from f) z where r = 1)
     select doc_id, {bare('chunk')} as chunk from c where {n_words('chunk')} >= 15""")
 def sentence_pack(spark, d):
-    t = bind(spark, d, "documents").where("text is not null")
+    t = spread(bind(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     return t.select("doc_id", F.explode(text.pack_sentences(F.col("text"), 60, 15)).alias("chunk"))
 
 
 @query("corpus_paragraphs")
 def corpus_paragraphs(spark, d):
-    t = bind(spark, d, "documents").where("text is not null")
+    t = spread(bind(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     p = t.select("doc_id", F.explode(text.paragraphs(F.col("text"), True)).alias("content"))
     return p.select(text.content_id(F.col("content")).alias("paragraph_id"), F.md5(F.col("doc_id").cast("string")).alias("document_id"), "content")
 

@@ -80,9 +80,12 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
 
 def spread(df: DataFrame, parts_per_core: int = 1) -> DataFrame:
     """Repartition a scan that has fewer splits than the cluster has cores, for passes that cost
-    far more than moving their rows. Large inputs have more splits than that and stay as they are."""
+    far more than moving their rows. Large inputs have more splits than that and stay as they are.
+    Filters on what is spread stay behind it: they are the work that it is done for."""
     n = df.sparkSession.sparkContext.defaultParallelism * parts_per_core
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n).where(F.monotonically_increasing_id() >= 0)
 
 
 def ship(spark: SparkSession) -> None:

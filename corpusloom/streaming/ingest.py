@@ -3,7 +3,6 @@ ledger that decides what is left."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import shared_folder
 
 
 def remaining(df: DataFrame, ledger: DataFrame, key: str, retry_failed: bool = False) -> DataFrame:
@@ -46,8 +46,7 @@ def ingest_paragraphs(spark: SparkSession, source: str, work: str | None = None,
     """Paragraphs of a documents source, ingested as a stream of files. ``work`` holds checkpoint
     and sink and must be shared on a cluster; by default it is in the session's checkpoint folder."""
     if work is None:
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-ingest-")
-        work = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+        work = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     schema = spark.read.parquet(source).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
@@ -69,3 +68,15 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
         events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select("event_type", F.col("window.start").alias("hour"), "n", "total")
+
+
+def per_key(spark: SparkSession, keys: list[str], folder: str, run: Callable[[str], DataFrame]) -> DataFrame:
+    """The results of ``run(key)`` for each key, kept under ``folder`` as each of them ends. Keys that
+    have ended before, in this or in an interrupted call, are not run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for key in keys:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/key={key}/_SUCCESS")
+        if not fs.exists(done):
+            run(key).write.mode("overwrite").parquet(f"{folder}/key={key}")
+    return spark.read.parquet(folder).where(F.col("key").isin(keys))
