@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,17 +137,54 @@ def unwrap(answer: str) -> tuple[str | None, bool]:
 
 
 def _refuses(words: list[str]) -> bool:
-    for t in _TEMPLATES:
-        head = words[: len(t) + 4]
-        if len(head) >= len(t) and common_length(t, head) == len(t) and t[0] in head[:3]:
-            return True
+    """Some template is a subsequence of the beginning, from one of the first three words on."""
+    for first in set(words[:3]):
+        for t in _BY_FIRST.get(first, ()):
+            head = words[: len(t) + 4]
+            if len(head) >= len(t) and common_length(t, head) == len(t):
+                return True
     return False
 
 
-_TEMPLATES = [x.split() for x in REFUSALS]
+_BY_FIRST: dict[str, list[list[str]]] = {}
+for _t in map(str.split, REFUSALS):
+    _BY_FIRST.setdefault(_t[0], []).append(_t)
 
 
-def defect(prompt: str | None, answer: str | None) -> str | None:
+class Prompt:
+    """What the answers to one prompt are compared with; each part is made when first asked for."""
+
+    def __init__(self, prompt: str | None):
+        self.text = consistent(prompt or "")
+
+    @cached_property
+    def words(self) -> list[str]:
+        return WORD.findall(self.text.lower())
+
+    @cached_property
+    def shingles(self) -> set[tuple[str, ...]]:
+        return set(_runs(self.words))
+
+    @cached_property
+    def language(self) -> str | None:
+        m = _EXTRACT.search(self.text)
+        return language(m.group(1) if m else self.text)
+
+    def holds(self, rationale: str, words: list[str]) -> bool:
+        """The rationale is taken from the prompt: its runs of words are there, and so are the words
+        of its sentences in their order."""
+        own = _runs(words)
+        if len(words) < 2 * SHINGLE or sum(s in self.shingles for s in own) < CONTAINED * len(own):
+            return False
+        aligned = sum(common_length(WORD.findall(x), self.words) for x in re.split(r"(?<=[.!?])\s+", rationale.lower()))
+        return aligned >= ALIGNED * len(words)
+
+
+def _runs(words: list[str]) -> list[tuple[str, ...]]:
+    return list(zip(*[words[k:] for k in range(SHINGLE)]))
+
+
+def defect(prompt: str | None | Prompt, answer: str | None) -> str | None:
     """The defect of one answer, or None. A null prompt has an empty extract."""
     if answer is None or not answer.strip():
         return "empty"
@@ -158,17 +196,12 @@ def defect(prompt: str | None, answer: str | None) -> str | None:
         return "empty" if closed else "truncated"
     if _refuses(words):
         return "refusal"
-    prompt = consistent(prompt or "")
-    m = _EXTRACT.search(prompt)
-    extract = m.group(1) if m else prompt
-    whole = WORD.findall(prompt.lower())
-    n = min(SHINGLE, len(words))
-    have = set(zip(*[whole[k:] for k in range(n)]))
-    own = list(zip(*[words[k:] for k in range(n)]))
-    if len(words) >= 6 and sum(s in have for s in own) >= CONTAINED * len(own) and sum(common_length(WORD.findall(x), whole) for x in re.split(r"(?<=[.!?])\s+", rationale.lower())) >= ALIGNED * len(words):
+    if not isinstance(prompt, Prompt):
+        prompt = Prompt(prompt)
+    if prompt.holds(rationale, words):
         return "copy"
-    a, b = language(rationale), language(extract)
-    if a and b and a != b:
+    own = language(rationale)
+    if own and prompt.language and own != prompt.language:
         return "language"
     if not closed or rationale.endswith(("...", "…")) or not re.search(r"[.!?][\"'»”)\]]*$|[.!?]\s*[»”]$", rationale):
         return "truncated"
@@ -184,7 +217,10 @@ def defective_answers(df: DataFrame, key: str = "pair_id", prompt: str = "prompt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, f, d) for k, p, *answers in zip(*[b[c].tolist() for c in (key, prompt, *fields)]) for f, a in zip(fields, answers) if (d := defect(p, a))]
+            out = []
+            for k, p, *answers in zip(*[b[c].tolist() for c in (key, prompt, *fields)]):
+                p = Prompt(p)
+                out += [(k, f, d) for f, a in zip(fields, answers) if (d := defect(p, a))]
             if out:
                 yield pd.DataFrame(out, columns=[key, "field", "defect"])
 

@@ -1,12 +1,12 @@
 """Problem 8: the corpus as token ids of a public byte-level BPE vocabulary.
 
-Texts up to ``LIMIT`` characters are encoded whole. A longer text is cut at places that the
-vocabulary's pattern never spans; a stretch without such a place is one piece, which is halved
-until every part is short. Parts are encoded by separate tasks. The parts of one piece are then
-joined as a tree: around each join a growing window of tokens is encoded anew until it begins
-and ends with tokens that the two sides have there. Adjacent tokens of a byte-level BPE
-encoding depend on no other tokens, so a sequence of which every adjacent pair is part of some
-encoding is the encoding of the whole.
+Texts up to ``LIMIT`` characters are encoded whole. A longer text is halved until every part is
+short, wherever that cuts it, and the parts are encoded by separate tasks. They are then joined as
+a tree. Around each join the text is encoded anew between the nearest places, left and right, that
+no match of the vocabulary's pattern spans; where that stretch is a single piece of the pattern, a
+growing window of tokens is, until it begins and ends with tokens that the two sides have there.
+Adjacent tokens of one piece depend on no other tokens, so a sequence of which every adjacent pair
+is part of some encoding is the encoding of the piece.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textform import by_size
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern by which the vocabulary splits text before merging bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LIMIT = 100_000
+LIMIT = 4_096  # characters
 WINDOW = 8
 
 
@@ -49,41 +50,12 @@ def _border(text: str, i: int) -> bool:
     return _kind(a) != " " and a != "'" and _kind(a) != _kind(b)
 
 
-def cut_text(text: str, limit: int) -> list[tuple[str, bool]]:
-    """The text in stretches, each with whether it is a single piece longer than ``limit``."""
-    out, at = [], 0
-    while len(text) - at > limit:
-        i = at + limit
-        while i > at and not _border(text, i):
-            i -= 1
-        if i > at:
-            out.append((text[at:i], False))
-            at = i
-            continue
-        j = at + limit
-        while j < len(text) and not _border(text, j):
-            j += 1
-        stretch = text[at:j]
-        # white space before a word gives its last blank to the word
-        lead = len(stretch) - len(stretch.lstrip()) if _kind(stretch[0]) == " " else 0
-        if lead > 1:
-            head = lead if lead == len(stretch) and j == len(text) else lead - 1
-            out.append((stretch[:head], head > limit))
-            at += head
-        else:
-            out.append((stretch, "'" not in stretch))
-            at = j
-    if at < len(text):
-        out.append((text[at:], False))
-    return out
-
-
-def halves(data: bytes, limit: int) -> list[bytes]:
-    """The leaves of a tree of halves, in order, none longer than ``limit`` bytes."""
-    if len(data) <= limit:
-        return [data]
-    mid = len(data) // 2
-    return halves(data[:mid], limit) + halves(data[mid:], limit)
+def halves(text: str, limit: int) -> list[str]:
+    """The leaves of a tree of halves, in order, none longer than ``limit`` characters."""
+    if len(text) <= limit:
+        return [text]
+    mid = len(text) // 2
+    return halves(text[:mid], limit) + halves(text[mid:], limit)
 
 
 def join_tokens(enc: tiktoken.Encoding, a: list[int], b: list[int]) -> list[int]:
@@ -101,11 +73,50 @@ def join_tokens(enc: tiktoken.Encoding, a: list[int], b: list[int]) -> list[int]
         n *= 2
 
 
-def join_tree(enc: tiktoken.Encoding, parts: list[list[int]]) -> list[int]:
+def _tokens_before(enc: tiktoken.Encoding, ids: list[int], size: int, back: bool = False) -> int:
+    """How many of the first tokens (of the last, with ``back``) make up ``size`` bytes."""
+    n, order = 0, reversed(ids) if back else ids
+    for k, t in enumerate(order):
+        if n >= size:
+            return k
+        n += len(enc.decode_single_token_bytes(t))
+    return len(ids)
+
+
+def join_texts(enc: tiktoken.Encoding, left: tuple[str, list[int]], right: tuple[str, list[int]]) -> tuple[str, list[int]]:
+    """Text and encoding of two neighbours from those of each."""
+    (s, a), (t, b) = left, right
+    if not s or not t:
+        return s + t, a + b
+    both = s + t
+    if _border(both, len(s)):
+        return both, a + b
+    lo, hi = len(s) - 1, len(s) + 1
+    while lo > 0 and not _border(both, lo):
+        lo -= 1
+    while hi < len(both) and not _border(both, hi):
+        hi += 1
+    tail, head = _tokens_before(enc, a, len(s[lo:].encode()), True), _tokens_before(enc, b, len(both[len(s) : hi].encode()))
+    stretch = both[lo:hi]
+    body = stretch.removeprefix(" ")
+    if len(body) >= len(stretch) - 1 and "'" not in stretch and _one_kind(body) and len(s) - lo > len(stretch) - len(body):
+        mid = join_tokens(enc, a[len(a) - tail :], b[:head])
+    else:
+        mid = enc.encode_ordinary(stretch)
+    return both, a[: len(a) - tail] + mid + b[head:]
+
+
+def _one_kind(body: str) -> bool:
+    """The characters are all letters, all numbers or all other marks: one match of the pattern."""
+    kinds = set(map(_kind, set(body)))
+    return len(kinds) == 1 and " " not in kinds
+
+
+def join_tree(enc: tiktoken.Encoding, parts: list[tuple[str, list[int]]]) -> list[int]:
     """Neighbours joined level by level until one sequence is left."""
     while len(parts) > 1:
-        parts = [join_tokens(enc, parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-    return parts[0] if parts else []
+        parts = [join_texts(enc, parts[k], parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0][1] if parts else []
 
 
 def token_ids(df: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -117,7 +128,7 @@ def token_ids(df: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in by_size(batches, "t"):
             ids = [enc.encode_ordinary(t) for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -129,28 +140,25 @@ def token_ids(df: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k, uid, t in zip(b["k"], b["u"], b["t"]):
-                for n, (stretch, single) in enumerate(cut_text(t, limit)):
-                    for m, part in enumerate(halves(stretch.encode(), limit) if single else [stretch.encode()]):
-                        yield pd.DataFrame({"k": [k], "u": [uid], "n": [n], "m": [m], "single": [single], "part": [part]})
+                parts = halves(t, limit)
+                for lo in range(0, len(parts), 256):
+                    yield pd.DataFrame({"k": k, "u": uid, "m": range(lo, min(lo + 256, len(parts))), "part": parts[lo : lo + 256]})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
-            ids = [enc._encode_single_piece(p) if s else enc.encode_ordinary(p.decode()) for s, p in zip(b["single"], b["part"])]
-            yield b.drop(columns="part").assign(ids=ids)
+            yield b.assign(ids=[enc.encode_ordinary(p) for p in b["part"]])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        enc, out = encoder(path), []
-        for _, piece in pdf.sort_values(["n", "m"]).groupby("n", sort=True):
-            out += join_tree(enc, [list(x) for x in piece["ids"]])
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "ids": [out]})
+        pdf = pdf.sort_values("m")
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "u": pdf["u"].iloc[:1], "ids": [join_tree(encoder(path), [(p, list(x)) for p, x in zip(pdf["part"], pdf["ids"])])]})
 
     kind = dict(df.dtypes)["k"]
     long = df.where(F.length("t") > limit).withColumn("u", F.xxhash64("k", "t"))
     copies = long.groupBy("k", "u").agg(F.count("*").alias("copies"))
-    parts = long.dropDuplicates(["k", "u"]).mapInPandas(split, f"k {kind}, u long, n int, m int, single boolean, part binary")
-    parts = parts.repartition(F.col("u"), F.col("n"), F.col("m")).mapInPandas(encode, f"k {kind}, u long, n int, m int, single boolean, ids array<int>")
-    joined = parts.groupBy("k", "u").applyInPandas(lambda pdf: join(pdf).assign(u=pdf["u"].iloc[0])[["k", "u", "ids"]], f"k {kind}, u long, ids array<int>")
+    parts = long.dropDuplicates(["k", "u"]).mapInPandas(split, f"k {kind}, u long, m int, part string")
+    parts = parts.repartition(F.col("u"), F.col("m")).mapInPandas(encode, f"k {kind}, u long, m int, part string, ids array<int>")
+    joined = parts.groupBy("k", "u").applyInPandas(join, f"k {kind}, u long, ids array<int>")
     joined = joined.join(copies, ["k", "u"]).select("k", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("k", "ids")
     return short.unionByName(joined).withColumnRenamed("k", key)
 

@@ -2,9 +2,10 @@
 
 The tree is root, period, type. Wanted rows come down from the root by share and minimum; what
 a leaf cannot give goes to its siblings with rows to spare, in proportion, then to its cousins.
-Rows are drawn at the leaves by the dense rank of a permutation (a seeded hash): ranks are the
-sum of counts of lower hash ranges and the place within the own range, so the rows of a leaf
-are never sorted in one task. Everything beside the draw has one row per leaf.
+Rows are drawn at the leaves by the dense rank of a permutation (a seeded hash): the counts of
+hash ranges tell in which range the quota of a leaf ends; lower ranges are taken whole and only
+that one is ranked, so the rows of a leaf are neither moved nor sorted as a whole. Everything
+beside the draw has one row per leaf.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 OTHER_TYPE = "other_doc"
-RANGES = 4096
+DIGITS = 3  # hex digits of a hash that make a range, so 4096 ranges a leaf
 
 
 def _bare(c: Column) -> Column:
@@ -59,7 +62,8 @@ def allocation(df: DataFrame, targets: DataFrame, share: int = 5, epoch: str = "
     t = targets.select(F.col(epoch).alias("epoch"), F.col(kind).alias("type_document"), epoch_key(F.col(epoch)).alias("e"), type_key(F.col(kind)).alias("t"), F.coalesce("target_bp", F.lit(0)).cast("long").alias("bp"), F.coalesce("min_rows", F.lit(0)).cast("long").alias("least"))
     t = t.distinct().crossJoin(F.broadcast(n))
     t = t.withColumn("wanted", F.greatest("least", F.floor(F.col("bp") * F.floor(F.col("n") / share) / 10000)).cast("long"))
-    t = t.join(counts, ["e", "t"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
+    # from here on one row per target, so the windows need no shuffles among tasks
+    t = t.join(counts, ["e", "t"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long")).coalesce(1)
     same = W.partitionBy("e", "t").orderBy("epoch", "type_document").rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("free", F.greatest(F.lit(0), F.col("available") - F.coalesce(F.sum("wanted").over(same), F.lit(0))).cast("long"))
     t = t.withColumn("own", F.least("wanted", "free")).withColumn("first", F.row_number().over(W.partitionBy("e", "t").orderBy("epoch", "type_document")) == 1)
@@ -79,23 +83,26 @@ def _pool(t: DataFrame) -> DataFrame:
 
 
 def unmet(df: DataFrame, targets: DataFrame, share: int = 5) -> DataFrame:
-    """``(epoch, type_document)`` of the targets that have fewer rows than they want."""
-    return allocation(df, targets, share).where("available < wanted").select("epoch", "type_document").distinct()
+    """``(epoch, type_document)`` of the targets that have fewer rows than they want, from the
+    allocation down the tree: one row per target, materialised."""
+    return cut(allocation(df, targets, share)).where("available < wanted").select("epoch", "type_document").distinct()
 
 
 def draw(df: DataFrame, targets: DataFrame, share: int = 5, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """``(row_id, epoch, type_document)`` of the sampled rows, the same for the same seed.
+    """``(row_id, epoch, type_document)`` of the sampled rows, the same for the same seed: those
+    with the least md5 of key and seed.
 
     Equal hashes and repeated keys are told apart by the key only, so rows that are equal in all
     of them may replace each other. No row is drawn twice.
     """
-    quota = allocation(df, targets, share).groupBy("e", "t").agg(F.sum("quota").alias("quota"))
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    quota = allocation(df, targets, share).groupBy("e", "t").agg(F.sum("quota").alias("quota")).where("quota > 0")
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     rows = df.select(key, "epoch", "type_document", epoch_key(F.col("epoch")).alias("e"), type_key(F.col("type_document")).alias("t"), h.alias("h"))
-    rows = rows.where("e is not null").join(F.broadcast(quota.where("quota > 0")), ["e", "t"])
-    rows = rows.withColumn("r", F.shiftrightunsigned("h", 64 - RANGES.bit_length() + 1))
-    below = rows.groupBy("e", "t", "r").agg(F.count("*").alias("n"))
-    below = below.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("e", "t").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.join(below.select("e", "t", "r", "before"), ["e", "t", "r"]).where("before < quota")
-    place = F.row_number().over(W.partitionBy("e", "t", "r").orderBy("h", key))
-    return rows.withColumn("rank", F.col("before") + place).where("rank <= quota").select(key, "epoch", "type_document")
+    rows = rows.where("e is not null").withColumn("r", F.substring("h", 1, DIGITS))
+    counts = rows.groupBy("e", "t", "r").agg(F.count("*").alias("n")).join(F.broadcast(quota), ["e", "t"])
+    before = F.coalesce(F.sum("n").over(W.partitionBy("e", "t").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("before", before).where("before < quota").groupBy("e", "t").agg(F.max("r").alias("end"), F.max_by(F.col("quota") - F.col("before"), "r").alias("rest"))
+    near = rows.join(F.broadcast(cut(ends)), ["e", "t"]).where("r <= end")
+    place = F.row_number().over(W.partitionBy("e", "t").orderBy("h", key))
+    ranked = near.where("r = end").withColumn("rank", place).where("rank <= rest")
+    return near.where("r < end").select(key, "epoch", "type_document").unionByName(ranked.select(key, "epoch", "type_document"))

@@ -11,7 +11,9 @@ misread if undoing one of the usual confusions gives a far more frequent word.
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +29,8 @@ from .lines import LineDropper, is_page_number, line_facts, repeated_of
 from .textform import consistent
 
 MIN_HEADER_ROWS = 3
+LONGEST = 64  # letters of a word of the vocabulary; keeps what is broadcast bounded
+OPTIONS = 256  # readings of a word beyond which they are looked for in the vocabulary letter by letter
 WORD_SHARE, MIN_COUNT = 5e-7, 3  # at most two million words can have that share of all words
 RARER = 8  # a misread form is at least so many times rarer than the word
 DIGITAL = 0.1  # and at most this part of its places is in texts of one line, which are rarely scanned
@@ -59,15 +63,16 @@ def _header_key(document: str, form: str) -> int:
 
 
 def _may_be_header(line: str) -> bool:
-    """Short, more than a page number, and not the end of a sentence."""
+    """More than a page number, and not the end of a sentence."""
     s = line.strip()
-    return 0 < len(s) <= 160 and s[-1] not in ".!?;,:" and bool(header_form(s)) and not is_page_number(s.lower())
+    return bool(s) and s[-1] not in ".!?;,:" and bool(header_form(s)) and not is_page_number(s.lower())
 
 
 def vocabulary(df: DataFrame, column: str = "content", share: float = WORD_SHARE, least: int = MIN_COUNT) -> dict[str, tuple[int, int]]:
     """Counts of the words, and of the compounds with their hyphens, that make up at least
     ``share`` of all words of the corpus, ``least`` at the fewest: in all texts and in texts of
-    one line. It has at most 1/share words, whatever the size of the corpus."""
+    one line. It has at most 1/share words of ``LONGEST`` letters, whatever the size of the corpus;
+    they are collected as Arrow columns."""
 
     def frames(c: Counter[str], one: Counter[str]) -> Iterator[pd.DataFrame]:
         rows = [(w, n, one.get(w, 0)) for w, n in c.items()]
@@ -89,15 +94,15 @@ def vocabulary(df: DataFrame, column: str = "content", share: float = WORD_SHARE
     counts = df.select(column).where(F.col(column).isNotNull()).mapInPandas(count, "w string, n long, one long")
     counts = cut(counts.groupBy("w").agg(F.sum("n").alias("n"), F.sum("one").alias("one")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    got = counts.where((F.col("n") >= max(least, share * total)) & (F.length("w") <= 64)).toPandas()
-    return {w: (n, one) for w, n, one in zip(got["w"].tolist(), got["n"].tolist(), got["one"].tolist())}
+    got = counts.where((F.col("n") >= max(least, share * total)) & (F.length("w") <= LONGEST)).toArrow()
+    return dict(zip(got["w"].to_pylist(), zip(got["n"].to_pylist(), got["one"].to_pylist())))
 
 
 class Reader:
     """Reads one row: its noise, and its text as continuous paragraphs."""
 
     def __init__(self, vocab: dict[str, tuple[int, int]]):
-        self.vocab, self.fixes = vocab, {}
+        self.vocab, self.fixes, self.ordered = vocab, {}, None
         self.good = {w for w, (n, digital) in vocab.items() if digital > DIGITAL * n}
 
     def fix(self, word: str) -> str | None:
@@ -117,9 +122,9 @@ class Reader:
         options: set[str] = set()
         if any(c.isdigit() for c in word):
             per = [[b for a, b in CONFUSIONS if a == c] if c.isdigit() else [c] for c in word]
-            if sum(c.isdigit() for c in word) > 4 or any(not p for p in per) or not any(c.isalpha() for c in word):
+            if any(not p for p in per) or not any(c.isalpha() for c in word):
                 return None
-            options |= {"".join(p) for p in itertools.product(*per)}
+            options |= {"".join(p) for p in itertools.product(*per)} if math.prod(map(len, per)) <= OPTIONS else set(self._among(per))
         else:
             for a, b in CONFUSIONS:
                 i = word.find(a)
@@ -131,6 +136,17 @@ class Reader:
             return None
         return best if self.vocab.get(best, (0, 0))[0] >= RARER * max(own, 1) else None
 
+    def _among(self, per: list[list[str]]) -> list[str]:
+        """The words of the vocabulary with one of the given letters at each place, by prefixes."""
+        if self.ordered is None:
+            self.ordered = sorted(self.vocab)
+        heads = [""]
+        for letters in per:
+            longer = [h + x for h in heads for x in letters]
+            at = [bisect.bisect_left(self.ordered, h) for h in longer]
+            heads = [h for h, i in zip(longer, at) if i < len(self.ordered) and self.ordered[i].startswith(h)]
+        return [h for h in heads if h in self.vocab]
+
     def whole(self, word: str) -> bool:
         return word in self.vocab or self.fix(word) is not None
 
@@ -138,12 +154,12 @@ class Reader:
         """If a word is cut at the end of line i: the line of its rest, both parts, and whether
         the mark is only a cut; None if the line ends otherwise."""
         end = lines[i].rstrip()
-        if aside[i] or end[-1:] not in MARKS or not end or not (m := _CUT.search(end[-80:])):
+        if aside[i] or end[-1:] not in MARKS or not end or not (m := _CUT.search(end)):
             return None
         head, mark = m.group(1), m.group(2)
         last = re.split(r"['’]", head)[-1]
         after = None
-        for j in [j for j in range(i + 1, len(lines)) if lines[j].strip() and not aside[j]][:3]:
+        for j in [j for j in range(i + 1, len(lines)) if lines[j].strip() and not aside[j]]:
             if not (t := _HEAD.match(lines[j])):
                 continue
             tail = t.group(1)

@@ -156,10 +156,9 @@ class Rewriter:
             return text
         if not _LEFT.search(text) and not self._latin_words(text):
             return text
-        for _ in range(8):
+        before = None
+        while text != before and SUSPECT.search(text):  # every rewriting leaves fewer suspects or a shorter text
             text, before = self._once(text), text
-            if text == before or not SUSPECT.search(text):
-                break
         return unicodedata.normalize("NFC", text) if re.search(f"[{MARKS}]", text) else text
 
 

@@ -290,12 +290,10 @@ def enc():
 @settings(max_examples=300, deadline=None)
 def test_p8_cut_and_joined_equals_whole(parts, limit):
     e = encoding.encoder(encoding.VOCABULARY)
-    text, out = "".join(parts), []
-    pieces = encoding.cut_text(text, limit)
-    assert "".join(p for p, _ in pieces) == text
-    for piece, single in pieces:
-        out += encoding.join_tree(e, [e._encode_single_piece(x) for x in encoding.halves(piece.encode(), limit)]) if single else e.encode_ordinary(piece)
-    assert out == e.encode_ordinary(text)
+    text = "".join(parts)
+    pieces = encoding.halves(text, limit)
+    assert "".join(pieces) == text
+    assert encoding.join_tree(e, [(x, e.encode_ordinary(x)) for x in pieces]) == e.encode_ordinary(text)
 
 
 def test_p8_table(spark, enc):
@@ -313,6 +311,7 @@ def test_p9_both_paths(spark):
     docs = spark.createDataFrame([(10, "Avant. " + ", ".join(w[2:20]).upper() + " après"), (11, " ".join(w[3:20])), (12, None), (13, "")], "doc_id bigint, text string").withColumn("content", F.lit("clash"))
     assert rows(leaks.leaks(docs, gold)) == [(10, 1)] == rows(leaks.leaks(docs, gold, limit=0))
     clean = {r["doc_id"]: (r["text"], r["removed"]) for r in leaks.remove_leaks(docs, gold).collect()}
+    assert clean == {r["doc_id"]: (r["text"], r["removed"]) for r in leaks.remove_leaks(docs, gold, limit=0).collect()}
     assert clean[10] == ("Avant.  après", 18) and clean[11][1] == 0 and clean[12] == (None, 0)
     assert leaks.leaks(docs.where("false"), gold).count() == 0 and leaks.leaks(docs, gold.where("false")).count() == 0
 
