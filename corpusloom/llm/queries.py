@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import ship, table
+from ..runtime import cut, ship, table
 from . import answers, encoding, leaks, lines, neardup, overlap, quota, scans, subjects, textform
 
 
@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of corpus rows within one group of near-duplicates."""
     ship(spark)
-    return neardup.group_pairs(neardup.groups(table(spark, d, "corpus")))
+    return neardup.group_pairs(cut(neardup.groups(table(spark, d, "corpus"))))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +47,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "corpus")).select("row_id", "line_no")
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of clusters of near-equal lines that recur across the documents of their issuer."""
+    ship(spark)
+    return lines.repeated_lines(table(spark, d, "corpus"), exact=False).select("row_id", "line_no")
+
+
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without these lines."""
     ship(spark)

@@ -62,12 +62,6 @@ def _header_key(document: str, form: str) -> int:
     return xxhash.xxh64_intdigest(f"{document}\0{form}") - (1 << 63)
 
 
-def _may_be_header(line: str) -> bool:
-    """More than a page number, and not the end of a sentence."""
-    s = line.strip()
-    return bool(s) and s[-1] not in ".!?;,:" and bool(header_form(s)) and not is_page_number(s.lower())
-
-
 def vocabulary(df: DataFrame, column: str = "content", share: float = WORD_SHARE, least: int = MIN_COUNT) -> dict[str, tuple[int, int]]:
     """Counts of the words, and of the compounds with their hyphens, that make up at least
     ``share`` of all words of the corpus, ``least`` at the fewest: in all texts and in texts of
@@ -175,18 +169,18 @@ class Reader:
     def misread(self, text: str) -> bool:
         """Some word or number of the text was misread."""
         mixed = False
-        for w in set(map(str.lower, _TOKEN.findall(text))) - self.good:
+        for w in set(_TOKEN.findall(text.lower())) - self.good:
             for p in [w] if w in self.vocab else w.split("-"):
                 if p.isdigit() or p in self.good:
                     continue
                 if self.fix(p):
                     return True
-                mixed = mixed or any(c.isdigit() for c in p)
+                mixed = mixed or not p.isalpha()
         return mixed and _NUMBER.search(text) is not None
 
     def read(self, lines: list[str], headers: list[bool], repeated: list[bool], repair: bool = True) -> tuple[set[str], str]:
-        """Kinds of noise and the repaired text (empty unless asked for); lines are in the
-        consistent form."""
+        """Kinds of noise and the text without headers and page numbers, with ``repair`` also with
+        misread words put right; lines are in the consistent form."""
         kinds: set[str] = set()
         aside = [False] * len(lines)
         for i, line in enumerate(lines):
@@ -210,7 +204,7 @@ class Reader:
         noise = "\n".join(x for i, x in enumerate(lines) if aside[i] and not repeated[i])
         if self.misread(body) or noise and self.misread(noise):
             kinds.add("misread")
-        return kinds, self._repair(body) if repair else ""
+        return kinds, self._repair(body) if repair and "misread" in kinds else body
 
     def _join(self, lines: list[str], aside: list[bool], cuts: dict[int, tuple[int, str, str, bool]]) -> str:
         """Body lines as paragraphs: a line goes on with the one before unless that ends a sentence."""
@@ -252,7 +246,12 @@ class Reader:
 
 
 def _header_mark(document: str, line: str) -> int | None:
-    return _header_key(document, header_form(line)) if _may_be_header(line) else None
+    """The hash of a line that may be a header: more than a page number, and not the end of a sentence."""
+    s = line.strip()
+    if not s or s[-1] in ".!?;,:":
+        return None
+    form = header_form(s)
+    return _header_key(document, form) if form and not is_page_number(s.lower()) else None
 
 
 def _headers(facts: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -249,6 +249,21 @@ def test_p7_misread_where_all_texts_are_wrapped(spark):
     assert dict(rows(scans.repair(df).where("row_id = 1"))) == {1: "Le montant versé par la société est resté stable."}
 
 
+def test_p7_has_no_caps(spark):
+    plain = [(1000 + i, f"p{i}", "P", "Le conseil présente la désindustrialisation ooooooo du groupe et la formation des équipes.") for i in range(30)]
+    header = "Groupe Exemple – rapport annuel " + " ".join(f"chapitre {chr(97 + i) * 9}" for i in range(12))
+    scan = [(1, "doc", "E", f"{header}\nLe conseil présente la for-\nun.\ndeux.\ntrois.\nquatre.\nmation des équipes."), (2, "doc", "E", f"{header}\nLe conseil."), (3, "doc", "E", f"Le conseil.\n{header}"), (4, "x", "E", "Le conseil présente la d6s1ndu5tr1a1isati0n du groupe.")]
+    assert len(header) > 160
+    got = rows(scans.scan_noise(spark.createDataFrame(plain + scan, CORPUS)))
+    assert got == [(1, "header"), (1, "hyphenation"), (2, "header"), (3, "header"), (4, "misread")]
+
+
+def test_p7_readings_among_the_vocabulary():
+    reader = scans.Reader({"ooooooooo": (9, 9), "ooooooool": (9, 9), "oooooooo": (9, 9)})
+    per = [["o", "ô"]] * 8 + [["l", "i", "o"]]
+    assert sorted(reader._among(per)) == ["ooooooool", "ooooooooo"]
+
+
 # p1
 @pytest.mark.parametrize(
     "answer,want",
@@ -304,6 +319,13 @@ def test_p8_table(spark, enc):
     assert encoding.token_ids(df.where("false")).count() == 0
 
 
+def test_p8_long_rows_by_the_tree(spark, enc):
+    texts = ["Le rapport annuel, n° 12, dit : « l'eau ».\n" * 400, " " * 9000 + "fin", "x" * 9000, "é'" * 5000, "漢字 et 'll " * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert min(map(len, texts)) > encoding.LIMIT
+    assert rows(encoding.token_ids(df)) == [(i, enc.encode_ordinary(t)) for i, t in enumerate(texts)]
+
+
 # p9
 def test_p9_both_paths(spark):
     w = [f"mot{i}" for i in range(40)]
@@ -340,5 +362,35 @@ def test_p10_held_out(spark):
     assert subjects.document_subjects(df, lab.where("false")).count() == 0 and subjects.document_subjects(df.where("false"), lab).count() == 0
 
 
+def test_p10_words_that_labelled_documents_rarely_hold(spark):
+    docs, labels = subject_tables(spark)
+    rng = random.Random(5)
+    odd = [(i, docs[i][1] + " L'annexe jointe suit.") for i in range(4) if ("sport" in {s for k, s in labels if k == i})]
+    docs = [dict(odd).get(i, t) and (i, dict(odd).get(i, t)) for i, t in docs]
+    notices = [(500 + i, " ".join(f"L'annexe jointe porte la mention {rng.randrange(99)}." for _ in range(6))) for i in range(60)]
+    df = spark.createDataFrame(docs + notices, "doc_id bigint, text string")
+    lab = spark.createDataFrame([x for x in labels if x[0] < 40], "doc_id bigint, subject string")
+    assert subjects.document_subjects(df, lab).where("doc_id >= 500").count() == 0
+
+
+def test_p10_splits_what_several_subjects_share():
+    rng = np.random.default_rng(1)
+    flat, counts, document, held = [], [], [], []
+    for d in range(120):  # ten subjects, each with a term of its own beside one that all sentences have
+        subject = d % 10
+        held.append([float(j == subject) for j in range(10)])
+        for _ in range(4):
+            flat += [0, 1 + subject]
+            counts.append(2)
+            document.append(d)
+    model = subjects.SubjectModel([f"s{j}" for j in range(10)], [f"terme{chr(97 + i)}" for i in range(11)], np.r_[3.0, rng.uniform(0.9, 1.1, 10)])
+    subjects.LEAVES, before = 3, subjects.LEAVES
+    try:
+        grown = subjects.grow(model, np.array(flat), np.array(counts), np.array(document), np.array(held))
+    finally:
+        subjects.LEAVES = before
+    assert len(grown.label) >= 10 and (grown.mixture.max(axis=1) == 1).all()
+
+
 def test_p10_sentences():
     assert subjects.sentences("Un (réf. Nom 12) deux. Trois !\nQuatre\nsuite\n\n👍") == ["Un (réf. Nom 12) deux.", "Trois !", "Quatre\nsuite"]
