@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The lexicon of the density score, matched as substrings.
@@ -236,6 +236,11 @@ def html_text(c: Column) -> Column:
     return bare(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
 
 
+def page_text(c: Column, least: int = 100) -> Column:
+    """Text of a page if it is longer than ``least`` characters, else null."""
+    return let(html_text(c), lambda t: F.when(F.length(t) > least, t))
+
+
 def error_key(c: Column) -> Column:
     """The stable head of an error message: what stands before " :" and " doit"."""
     return bare(F.split(F.split(c, " :")[0], " doit")[0])
@@ -247,6 +252,13 @@ def prompt(company: Column, year: Column, content: Column) -> Column:
     return F.concat(F.lit("Société : "), F.coalesce(company, F.lit("Inconnue")), F.lit(" | Année : "), when, F.lit("\nExtrait : «"), F.substring(F.coalesce(content, F.lit("")), 1, 600), F.lit("»"))
 
 
+def n_shot(examples: DataFrame, place: str, content: str, answer: str) -> DataFrame:
+    """One row with the examples of a prompt in order, and how many they are."""
+    line = F.concat(F.lit("Exemple "), F.col(place).cast("string"), F.lit(" :\nExtrait : «"), F.coalesce(F.col(content), F.lit("")), F.lit("»\nRéponse : "), F.col(answer))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(place).alias("k"), line.alias("x"))))
+    return examples.agg(F.array_join(F.transform(rows, lambda r: r["x"]), "\n\n").alias("prompt"), F.count("*").alias("n"))
+
+
 def chat(system: Column, user: Column) -> Column:
     """An instruction turn with a system part."""
     return F.concat(F.lit("<s>[INST] "), system, F.lit("\n\n"), user, F.lit(" [/INST]"))

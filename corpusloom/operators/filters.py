@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,9 +84,14 @@ def relevant(c: Column) -> Column:
 
 
 def first_matching_column(columns: list[str], keywords: list[str]) -> str | None:
-    """The column whose name holds the first keyword that any holds; keywords go before columns."""
-    low = {c: c.lower().strip() for c in columns}
-    return next((c for k in keywords for c in columns if k in low[c]), None)
+    """The column whose name holds the first keyword that any holds; keywords go before columns.
+    Names are compared in lower case, blanks and apostrophes as underlines."""
+    low = {c: column_key(c) for c in columns}
+    return next((c for k in keywords for c in columns if column_key(k) in low[c]), None)
+
+
+def column_key(name: str) -> str:
+    return re.sub(r"[\s'’]", "_", name.strip().lower())
 
 
 def detect_columns(columns: list[str], wanted: dict[str, list[str]], required: tuple[str, ...] = ()) -> dict[str, str | None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Iterator
 from typing import Protocol
@@ -77,6 +78,21 @@ class Encoder(Protocol):
     def __call__(self, texts: list[str]) -> list[np.ndarray]: ...
 
 
+class HashedEncoder:
+    """A deterministic encoder for tests: the state of a word in layer k is a hash of it and the k
+    words before it, as so many signs."""
+
+    def __init__(self, layers: int = 3, width: int = 32):
+        self.layers, self.width = layers, width
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.stack([[self._state(tuple(w[max(0, i - k) : i + 1])) for i in range(len(w))] for k in range(self.layers)]) for w in ((t.split() or [""]) for t in texts)]
+
+    def _state(self, words: tuple[str, ...]) -> np.ndarray:
+        bits = np.frombuffer(hashlib.sha256(" ".join(words).encode()).digest(), dtype=np.uint8)
+        return np.unpackbits(bits)[: self.width] * 2.0 - 1
+
+
 def hidden_states(df: DataFrame, encoder: Encoder, key: str, text: str, pooling: str = "last") -> DataFrame:
     """``(key, layer, features)``: the states of each layer, of the last token or the mean of all.
     Null texts have none."""

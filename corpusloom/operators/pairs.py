@@ -28,6 +28,13 @@ def status(silver: Column, base: Column) -> Column:
     return F.when(silver.isNull() | base.isNull(), "api_error").when(silver == base, "agreement").otherwise("pair")
 
 
+def diagnosis(df: DataFrame, silver: Column, base: Column) -> DataFrame:
+    """One row: pairs, agreements, agreements on none, and rows with a failed call."""
+    s = status(silver, base)
+    counts = {"n_pair": s == "pair", "n_agreement": s == "agreement", "n_both_none": (silver == "none") & (base == "none"), "n_error": s == "api_error"}
+    return df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()])
+
+
 def within_budget(df: DataFrame, order: list[str], target: int, max_calls: int, calls: int = 2, is_pair: str = "is_pair") -> DataFrame:
     """The rows a loop over ``order`` would process before it has ``target`` pairs or has spent
     ``max_calls`` calls. At most max_calls / calls rows can be among them, so the running sum is

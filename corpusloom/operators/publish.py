@@ -21,6 +21,19 @@ def clean(df: DataFrame, held_out: DataFrame | None = None, dedupe: bool = False
     return dense_id(df, ["paragraph_id", "source_row"], "row_id")
 
 
+# The columns that an annotation round fills in, with their types and first values.
+ANNOTATION_COLUMNS = {
+    "csrd_category": ("string", None), "esrs_subcategory": ("string", None), "materialite_financiere": ("boolean", None), "materialite_impact": ("boolean", None), "materialite_score": ("int", None),
+    "horizon_temporel": ("string", None), "market_surprise": ("string", None), "chain_of_thought": ("string", None), "final_answer_json": ("string", None), "annotateur": ("string", None),
+    "prompt_version": ("string", "v1.0"), "confiance_annotation": ("double", None), "annotation_validated": ("boolean", False),
+}
+
+
+def with_annotation_columns(df: DataFrame) -> DataFrame:
+    """``df`` with the columns of an annotation round; those it has stay as they are."""
+    return df.withColumns({c: F.lit(v).cast(t) for c, (t, v) in ANNOTATION_COLUMNS.items() if c not in df.columns})
+
+
 def quality(df: DataFrame) -> DataFrame:
     """One row: rows, empty contents, distinct paragraphs, rows beyond the first of each, rows
     without epoch, rows of each known epoch, the mean length of content and, where there is a

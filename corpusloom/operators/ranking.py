@@ -72,6 +72,15 @@ def one_of_each(df: DataFrame, column: str, order: list[str], n: int) -> DataFra
     return first_of(df.where(F.col(column).isNotNull()), [column], order).orderBy(column).limit(n)
 
 
+def padded(df: DataFrame, order: list[str], defaults: DataFrame, default_order: list[str], n: int) -> DataFrame:
+    """At most n rows with their ``place`` from 1: those of ``df`` in order, then as many of the
+    defaults as are missing. Both are small."""
+    columns = [c for c in df.columns if c in defaults.columns]
+    tagged = [x.select(F.lit(i).alias("_s"), F.row_number().over(W.orderBy(*o)).alias("_i"), *columns) for i, (x, o) in enumerate(((df.orderBy(*order).limit(n), order), (defaults, default_order)))]
+    both = tagged[0].unionByName(tagged[1]).orderBy("_s", "_i").limit(n)
+    return both.withColumn("place", F.row_number().over(W.orderBy("_s", "_i"))).drop("_s", "_i")
+
+
 def pick_by_priority(subsets: list[DataFrame], key: str, each: int, total: int) -> DataFrame:
     """``(key, priority)``: at most ``each`` rows of each subset, a row under its first subset."""
     tagged = [s.orderBy(key).limit(each).select(key, F.lit(i + 1).cast("long").alias("priority")) for i, s in enumerate(subsets)]

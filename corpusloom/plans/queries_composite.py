@@ -10,12 +10,17 @@ from ..runtime import cut
 from .bindings import bind, cte
 from .queries_metrics import CELLS, OK, SCORES
 from .queries_pairs import Q, _get, _valid
-from .queries_relational import drawn
+from .queries_relational import drawn, exact_sql
 from .queries_text import BUCKET, STRATA
 from .registry import query
 
 
-@query("gold_selection")
+@query("gold_selection", cte("pool") + f""", p as (select * from pool where epoch is not null), z as (select epoch as stratum, count(*) as size from p group by epoch), {exact_sql('z', 140, 5, 'q')},
+    t as (select p.row_id, p.epoch, p.doc_group, quota, row_number() over (partition by p.epoch, p.doc_group order by {drawn('p.row_id')}, p.row_id) as turn from p join q on p.epoch = q.stratum),
+    k as (select *, row_number() over (partition by epoch order by turn, {drawn('doc_group')}, doc_group) as k from t where turn <= quota), g as (select row_id, epoch, doc_group from k where k <= quota),
+    y as (select epoch as stratum, count(*) as size from g group by epoch), {exact_sql('y', 40, 5, 'v')},
+    s as (select g.*, v.quota, row_number() over (partition by g.epoch order by md5(concat_ws(':', cast(g.row_id as varchar), '43')), g.row_id) as place from g join v on g.epoch = v.stratum)
+    select row_id, epoch, doc_group, place <= quota as iaa_subset from s""")
 def gold_selection(spark, d):
     """140 rows by exact quotas per period, spread over document groups, 40 of them for agreement."""
     pool = bind(spark, d, "pool").where("epoch is not null")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from ..operators import pairs, probe, ranking, taxonomy
+from ..operators import joins, metrics, pairs, probe, publish, ranking, taxonomy
+from ..operators.models import HashedEncoder, KeywordStub, classify, hidden_states
 from ..operators.taxonomy import CODES, HORIZONS, SUBCODES, SURPRISE
 from .bindings import bind, cte
+from .queries_metrics import CELLS, SCORES
+from .queries_text import INGESTED
 from .registry import query
 
 Q = "'" + "', '".join(CODES) + "'"
@@ -106,6 +109,13 @@ def annotation_report(spark, d):
     return taxonomy.batch_report(taxonomy.annotation_errors(bind(spark, d, "objects")))
 
 
+@query("first_invalid", cte("objects") + f", e as (select row_id, {_errors_sql()} as errors from objects) select row_id, errors from e where errors <> '' order by row_id limit 10")
+def first_invalid(spark, d):
+    """The first ten annotations that break a rule."""
+    got = taxonomy.first_invalid(taxonomy.annotation_errors(bind(spark, d, "objects")), "row_id")
+    return got.select("row_id", F.concat_ws("; ", "errors").alias("errors"))
+
+
 # preference pairs
 TYPE = "case when silver = base then null when silver <> 'none' and base = 'none' then 'A_recency_fn' when silver = 'none' and base <> 'none' then 'B_overprediction_fp' else 'C_category_confusion' end"
 C = cte("candidates") + f", t as (select *, {TYPE} as pair_type from candidates)"
@@ -196,7 +206,7 @@ def coverage_stats(spark, d):
     return coverage(bind(spark, d, "ledger"))
 
 
-@query("ingest_micro_batches")
+@query("ingest_micro_batches", INGESTED)
 def ingest_micro_batches(spark, d):
     from ..streaming.ingest import ingest_paragraphs
 
@@ -227,10 +237,54 @@ def permutation_p(spark, d):
     return probe.permutation_test(bind(spark, d, "embeddings"))
 
 
-@query("stub_predictions")
-def stub_predictions(spark, d):
-    from ..operators.models import KeywordStub, classify
+def _stub_sql(c: str) -> str:
+    return "case " + " ".join(f"when {' or '.join(f'contains(lower(coalesce({c}, {chr(39) * 2})), {chr(39)}{w}{chr(39)})' for w in ws)} then '{k}'" for k, ws in KeywordStub.WORDS.items()) + " else 'none' end"
+
 
+@query("stub_predictions", f"select row_id, l as pred_label, case when l <> 'none' then l || '-1' end as pred_subcategory, 'Classement en ' || l || ' par mots-clés.' as pred_rationale, cast(null as varchar) as error from (select row_id, {_stub_sql('content')} as l from gold) x")
+def stub_predictions(spark, d):
     return classify(bind(spark, d, "gold").select("row_id", "content"), KeywordStub(), "row_id", "content")
 
 
+_SIG = "substring(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), 1, 80)"
+
+
+@query("benchmark", f"""with g as (select * from gold where csrd_category is not null and content is not null), shots as (select content from (select *, row_number() over (partition by csrd_category order by row_id) as r from g) x where r = 1 order by csrd_category limit 3),
+    held as (select * from g where {_SIG} not in (select {_SIG} from shots)), p as (select epoch, csrd_category as gold_label, {_stub_sql('content')} as pred_label from held),
+    c as (select epoch, {CELLS} from p group by epoch) select epoch, tp, fp, fn, tn, {SCORES} from c""")
+def benchmark(spark, d):
+    """Held-out rows without those of the prompt's examples, labelled by a model and scored by period."""
+    g = bind(spark, d, "gold").where("csrd_category is not null and content is not null")
+    held = joins.without_signatures(g, ranking.one_of_each(g, "csrd_category", ["row_id"], 3), 80)
+    got = held.join(classify(held, KeywordStub(), "row_id", "content"), "row_id").where("error is null")
+    return metrics.scores(metrics.relevance(got.withColumnRenamed("csrd_category", "gold_label"), ["epoch"]))
+
+
+@query("annotation_columns", "select row_id, epoch, csrd_category, chain_of_thought, cast(null as int) as materialite_score, cast(null as boolean) as materialite_impact, 'v1.0' as prompt_version, false as annotation_validated from gold")
+def annotation_columns(spark, d):
+    """The columns of an annotation round beside those that are there."""
+    return publish.with_annotation_columns(bind(spark, d, "gold")).select("row_id", "epoch", "csrd_category", "chain_of_thought", "materialite_score", "materialite_impact", "prompt_version", "annotation_validated")
+
+
+_SHOWN = cte("gold_predictions") + f", p as (select row_id, pred_label from gold_predictions where model = 'm1'), g as (select {_SIG} as sig, min(row_id) as row_id from gold where content is not null group by 1)"
+
+
+@query("demo_verdict", _SHOWN + f""" select c.row_id, g.row_id as gold_row, case when g.row_id is null then 'unknown' when p.pred_label is null then 'invalid' when p.pred_label <> h.csrd_category then 'wrong' else 'right' end as verdict
+    from (select row_id, {_SIG} as sig from gold union all select row_id + 1000000, {_SIG} from corpus) c left join g on c.sig = g.sig left join p on p.row_id = g.row_id left join gold h on h.row_id = g.row_id""")
+def demo_verdict(spark, d):
+    """Texts looked up among the held-out rows by their beginning, with a verdict on the stored
+    prediction of one model."""
+    gold, corpus = bind(spark, d, "gold"), bind(spark, d, "corpus")
+    texts = gold.select("row_id", "content").unionByName(corpus.select((F.col("row_id") + 1_000_000).alias("row_id"), "content"))
+    p = bind(spark, d, "gold_predictions").where("model = 'm1'").select(F.col("row_id").alias("found"), "pred_label")
+    got = joins.prefix_lookup(texts, gold, "row_id", 80).join(p, "found", "left").join(gold.select(F.col("row_id").alias("found"), "csrd_category"), "found", "left")
+    verdict = F.when(F.col("found").isNull(), "unknown").when(F.col("pred_label").isNull(), "invalid").when(F.col("pred_label") != F.col("csrd_category"), "wrong").otherwise("right")
+    return got.select("row_id", F.col("found").alias("gold_row"), verdict.alias("verdict"))
+
+
+@query("probe_hidden_states")
+def probe_hidden_states(spark, d):
+    """Accuracy by layer of a probe on the states of a stand-in encoder for the held-out rows."""
+    g = bind(spark, d, "gold").where("csrd_category is not null")
+    h = hidden_states(g, HashedEncoder(), "row_id", "content", "mean").join(g.select("row_id", F.col("csrd_category").alias("label")), "row_id")
+    return probe.cross_validated(h.select("layer", F.col("row_id").alias("id"), "label", "features"))

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import dates
-from ..operators import filters, joins, quotas, ranking
+from ..functions import dates, text
+from ..operators import filters, joins, pairs, quotas, ranking
 from ..operators.taxonomy import CATEGORIES, pillar
 from .bindings import bind, cte
 from .queries_text import LENIENT, bare
@@ -223,7 +223,18 @@ def stratified_draw(spark, d):
     return ranking.draw(pool, "doc_group", q.select(F.col("stratum").alias("doc_group"), "quota"), "row_id", 42).select("row_id", "doc_group")
 
 
-@query("quota_exact")
+def exact_sql(sizes: str, total: int, floor: int, out: str) -> str:
+    """Common table expressions that end in ``out`` (stratum, size, quota): quotas of the sizes that
+    sum to the total, evened out in turns, the largest room first."""
+    return f"""{out}a as (select stratum, size, least(greatest({floor}, cast(round_even({total} * size / cast(sum(size) over () as double), 0) as bigint)), size) as q from {sizes}),
+        {out}b as (select *, sum(q) over () - {total} as over_ from {out}a), {out}c as (select *, case when over_ > 0 then greatest(0, q - {floor}) else size - q end as room from {out}b),
+        {out}d as (select *, least(abs(over_), sum(room) over ()) as amount from {out}c),
+        {out}l as (select max(l) as lo from (select l, (select sum(least(room, l)) from {out}d) as taken, (select max(amount) from {out}d) as amount from range(0, (select cast(max(room) + 1 as bigint) from {out}d)) r(l)) x where taken <= amount),
+        {out}e as (select *, amount - sum(least(room, lo)) over () as rest, row_number() over (order by case when room > lo then 0 else 1 end, room desc, stratum) as place from {out}d cross join {out}l),
+        {out} as (select stratum, size, cast(q + case when over_ > 0 then -1 else 1 end * (least(room, lo) + case when room > lo and place <= rest then 1 else 0 end) as bigint) as quota from {out}e)"""
+
+
+@query("quota_exact", cte("pool") + ", z as (select doc_group as stratum, count(*) as size from pool group by doc_group), " + exact_sql("z", 400, 5, "q") + " select stratum, size, quota from q")
 def quota_exact(spark, d):
     sizes = bind(spark, d, "pool").groupBy(F.col("doc_group").alias("stratum")).agg(F.count("*").alias("size"))
     return quotas.exact(sizes, 400, 5)
@@ -301,3 +312,29 @@ def publish_clean(spark, d):
     return clean(bind(spark, d, "corpus"), bind(spark, d, "gold"), dedupe=True).select("row_id", "source_row", "paragraph_id")
 
 
+
+
+@query("half_even_rounding", "select row_id, round_even(row_id / 8.0, 2) as two, round_even(row_id / 16.0, 1) as one from corpus")
+def half_even_rounding(spark, d):
+    """Rounding to the even neighbour where two are as near."""
+    return bind(spark, d, "corpus").select("row_id", F.bround(F.col("row_id") / 8, 2).alias("two"), F.bround(F.col("row_id") / 16, 1).alias("one"))
+
+
+_SHOTS = "select 1 as i, 'Texte de référence sans enjeu.' as content, 'none' as label union all select 2, 'La trajectoire carbone est publiée.', 'E1' union all select 3, 'La formation des salariés progresse.', 'S1'"
+
+
+@query("fewshot_prompt", f"""with g as (select row_id, csrd_category, content, row_number() over (partition by csrd_category order by row_id) as r from gold where csrd_category is not null and csrd_category like 'E%'),
+    own as (select 0 as source, row_number() over (order by csrd_category) as i, content, csrd_category as label from g where r = 1 order by i limit 8),
+    x as (select * from own union all select 1, i, content, label from ({_SHOTS}) d), n as (select *, row_number() over (order by source, i) as k from x)
+    select string_agg('Exemple ' || k || ' :' || chr(10) || 'Extrait : «' || coalesce(content, '') || '»' || chr(10) || 'Réponse : ' || label, chr(10) || chr(10) order by k) as prompt, count(*) as n from n where k <= 8""")
+def fewshot_prompt(spark, d):
+    """Examples of eight categories from the held-out rows, made up from defaults where there are fewer."""
+    own = ranking.one_of_each(bind(spark, d, "gold").where("csrd_category like 'E%'"), "csrd_category", ["row_id"], 8).select("content", F.col("csrd_category").alias("label"))
+    shots = ranking.padded(own, ["label"], spark.sql(_SHOTS), ["i"], 8)
+    return text.n_shot(shots, "place", "content", "label")
+
+
+@query("pair_diagnosis", cte("candidates") + " select cast(sum(case when silver <> base then 1 else 0 end) as bigint) as n_pair, cast(sum(case when silver = base then 1 else 0 end) as bigint) as n_agreement, cast(sum(case when silver = 'none' and base = 'none' then 1 else 0 end) as bigint) as n_both_none, cast(sum(case when silver is null or base is null then 1 else 0 end) as bigint) as n_error from candidates")
+def pair_diagnosis(spark, d):
+    """What two models' labels come to: pairs, agreements, those on none, and failed calls."""
+    return pairs.diagnosis(bind(spark, d, "candidates"), F.col("silver"), F.col("base"))

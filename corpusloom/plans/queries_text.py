@@ -189,6 +189,47 @@ def html_to_text(spark, d):
     return bind(spark, d, "pages").select("doc_id", text.html_text(F.col("html")).alias("body"))
 
 
+@query("page_text", cte("pages") + f", t as (select doc_id, {_html_sql('html')} as body from pages) select doc_id, case when length(body) > 100 then body end as body, case when length(body) > 100 then null else 'html_empty' end as error from t")
+def page_text(spark, d):
+    """Text of pages, and an error for those with next to none."""
+    t = spread(bind(spark, d, "pages").select("doc_id", "html")).select("doc_id", text.page_text(F.col("html")).alias("body"))
+    return t.withColumn("error", F.when(F.col("body").isNull(), "html_empty"))
+
+
+_P = f"{bare('x')}"
+
+
+def _packed_sql(source: str, most: int, least: int) -> str:
+    """Common table expressions that end in ``packed`` (k, i, no, chunk): blocks of ``source`` (k, i,
+    block) of at least ``least`` words, those of more than ``most`` in chunks of whole sentences."""
+    parts = _PARTS.replace("text", "block")
+    return f"""z as (select k, i, block, {n_words('block')} as n from {source}), ps as (select k, i, {parts} as parts from z where n > {most}),
+        pp as (select k, i, j, parts[j] as x, {n_words('parts[j]')} as n from (select k, i, parts, unnest(range(1, len(parts) + 1)) as j from ps) e),
+        fold as (select k, i, j, x as cur, n as total, cast(null as varchar) as done from pp where j = 1
+            union all select f.k, f.i, p.j, case when f.total + p.n <= {most} then f.cur || ' ' || p.x else p.x end, case when f.total + p.n <= {most} then f.total + p.n else p.n end, case when f.total + p.n <= {most} then null else f.cur end
+            from fold f join pp p on p.k = f.k and p.i = f.i and p.j = f.j + 1),
+        chunks as (select k, i, j, {bare('done')} as chunk from fold where done is not null union all select k, i, j + 1, {bare('cur')} from (select *, row_number() over (partition by k, i order by j desc) as r from fold) y where r = 1),
+        packed as (select k, i, 0 as no, block as chunk from z where n between {least} and {most} union all select k, i, j, chunk from chunks where {n_words('chunk')} >= {least})"""
+
+
+def _blocks_sql(source: str, key: str, column: str) -> str:
+    """``blocks`` (k, i, block): between blank lines, or lines where there is no such block."""
+    tidy = lambda by: f"list_filter(list_transform(regexp_split_to_array({column}, '{by}'), lambda x: {_P}), lambda x: x <> '')"
+    return f"""bs as (select {key} as k, {tidy(chr(92) + 'n{2,}')} as t, {tidy(chr(92) + 'n')} as l from {source} where {column} is not null),
+        bb as (select k, case when len(t) > 0 then t else l end as b from bs), blocks as (select k, i, regexp_replace(b[i], ' {{2,}}', ' ', 'g') as block from (select k, b, unnest(range(1, len(b) + 1)) as i from bb) y)"""
+
+
+INGESTED = f"with recursive {_blocks_sql('documents', 'doc_id', 'text')}, {_packed_sql('blocks', 350, 15)} select k as doc_id, cast(row_number() over (partition by k order by i, no) - 1 as int) as paragraph_no, left(sha256(chunk), 32) as paragraph_id, chunk as content from packed"
+
+
+@query("corpus_build", f"with recursive {cte('pages').removeprefix('with ')}, texts as (select doc_id, body from (select doc_id, {_html_sql('html')} as body from pages) t where length(body) > 100), {_blocks_sql('texts', 'doc_id', 'body')}, {_packed_sql('blocks', 350, 15)} select left(sha256(chunk), 32) as paragraph_id, md5(cast(k as varchar)) as document_id, chunk as content from packed")
+def corpus_build(spark, d):
+    """From pages to the paragraphs of a corpus: text, blocks, packing, ids."""
+    t = spread(bind(spark, d, "pages").select("doc_id", "html")).select("doc_id", text.page_text(F.col("html")).alias("body"))
+    p = t.where("body is not null").select("doc_id", F.explode(text.paragraphs(F.col("body"))).alias("content"))
+    return p.select(text.content_id(F.col("content")).alias("paragraph_id"), F.md5(F.col("doc_id").cast("string")).alias("document_id"), "content")
+
+
 @query("prompt_render", f"""select row_id, concat('<s>[INST] ', 'Classe le paragraphe.', chr(10), chr(10), 'Société : ', coalesce(emetteur, 'Inconnue'), ' | Année : ',
     case when {YEAR} > 0 then cast({YEAR} as varchar) else '2010-2026' end, chr(10), 'Extrait : «', substring(coalesce(content, ''), 1, 600), '»', ' [/INST]') as prompt from corpus""")
 def prompt_render(spark, d):

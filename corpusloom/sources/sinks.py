@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -52,10 +53,36 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def publish(df: DataFrame, held_out: DataFrame, folder: str) -> None:
-    """The two configurations of a data set, each with its split."""
-    df.write.mode("overwrite").parquet(f"{folder}/corpus/train")
-    held_out.write.mode("overwrite").parquet(f"{folder}/gold/test")
+def publish(df: DataFrame, held_out: DataFrame, folder: str, dry_run: bool = True, card: str | None = None) -> dict[str, int]:
+    """The two configurations of a data set, each with its split, and its card: rows by the path they
+    go to. A dry run, the default, counts only and writes nothing."""
+    parts = {f"{folder}/corpus/train": df, f"{folder}/gold/test": held_out}
+    counts = {path: part.count() for path, part in parts.items()}
+    if not dry_run:
+        for path, part in parts.items():
+            part.write.mode("overwrite").parquet(path)
+        if card is not None:
+            df.sparkSession.createDataFrame([(card,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/card")
+    return counts
+
+
+def write_confusions(df: DataFrame, folder: str, by: str = "model") -> None:
+    """A confusion table as one CSV folder for each model."""
+    flat(df).repartition(F.col(by)).write.mode("overwrite").partitionBy(by).csv(folder, header=True, escape='"')
+
+
+def collect_artefacts(source: str, target: str, expected: dict[str, object], names: tuple[str, ...] = ("adapter_config.json", "adapter_model.safetensors", "tokenizer.json")) -> list[str]:
+    """Copies the files of a trained model that exist under ``names`` into one folder. Its
+    configuration, the first of them, must be there and agree with ``expected``, else nothing is
+    copied."""
+    config = Path(source, names[0])
+    if not config.is_file():
+        raise FileNotFoundError(str(config))
+    held = json.loads(config.read_text(encoding="utf-8"))
+    if wrong := {k: held.get(k) for k, v in expected.items() if held.get(k) != v}:
+        raise ValueError(f"{config} differs from what is expected: {wrong}")
+    Path(target).mkdir(parents=True, exist_ok=True)
+    return [shutil.copy2(p, target) for p in (Path(source, n) for n in names) if p.is_file()]
 
 
 #: Rows of a table that run metadata may hold.
@@ -102,3 +129,10 @@ def latex_table(df: DataFrame, columns: list[str], caption: str, label: str, pla
     lines = [" & ".join(cell(v) for v in row) + r" \\" for row in df.select(*columns).collect()]
     head = " & ".join(cell(c) for c in columns) + r" \\"
     return "\n".join([r"\begin{table}[t]", r"\centering", rf"\begin{{tabular}}{{{align}}}", r"\toprule", head, r"\midrule", *lines, r"\bottomrule", r"\end{tabular}", rf"\caption{{{caption}}}", rf"\label{{{label}}}", r"\end{table}"])
+
+
+def report_tables(suite: DataFrame, by_epoch: DataFrame, confusion: DataFrame, pairs: DataFrame, agreement: DataFrame, shares: DataFrame) -> dict[str, str]:
+    """The six tables of a report: figures by model, by period, confusion, tests between models,
+    agreement of annotators, and shares of labels."""
+    given = {"models": (suite, "Figures by model"), "epochs": (by_epoch, "Figures by period"), "confusion": (confusion, "Gold by predicted"), "tests": (pairs, "Tests between models"), "agreement": (agreement, "Agreement by variable"), "labels": (shares, "Shares of labels")}
+    return {name: latex_table(df, df.columns, caption, f"tab:{name}") for name, (df, caption) in given.items()}

@@ -113,22 +113,30 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def fetch(df: DataFrame, url: str, get, most_bytes: int = 4_000_000) -> DataFrame:
+def fetch(df: DataFrame, url: str, get, most_bytes: int = 4_000_000, size=None) -> DataFrame:
     """``(url, kind, body, error)`` by a function ``get(url) -> (status, content_type, bytes)``:
-    pdf or html bodies, or a code for what went wrong (http_404, too_large, timeout, error)."""
+    pdf or html bodies, or a code for what went wrong (empty_url, http_404, too_large, timeout,
+    error). ``size(url)``, a HEAD request, tells the announced bytes (0 if unknown); what is a fifth
+    beyond ``most_bytes`` is not asked for at all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for u in b["u"].tolist():
+                if not (u or "").strip():
+                    out.append((u, None, None, "empty_url"))
+                    continue
                 try:
+                    if size and size(u) > 1.2 * most_bytes:
+                        out.append((u, None, None, "too_large"))
+                        continue
                     status, kind, body = get(u)
                     if status != 200:
                         out.append((u, None, None, f"http_{status}"))
                     elif len(body) > most_bytes:
                         out.append((u, None, None, "too_large"))
                     else:
-                        out.append((u, "pdf" if "pdf" in kind.lower() or body[:5] == b"%PDF-" else "html", body, None))
+                        out.append((u, "pdf" if "pdf" in kind.lower() or u.lower().endswith(".pdf") or body[:5] == b"%PDF-" else "html", body, None))
                 except TimeoutError:
                     out.append((u, None, None, "timeout"))
                 except Exception as e:
@@ -138,9 +146,9 @@ def fetch(df: DataFrame, url: str, get, most_bytes: int = 4_000_000) -> DataFram
     return df.select(F.col(url).alias("u")).mapInPandas(run, "url string, kind string, body binary, error string")
 
 
-def pdf_text(df: DataFrame, pages: int = 12, least: int = 50, extract=None) -> DataFrame:
-    """``(url, text, error)`` of PDF bodies: the first pages joined by blank lines, if longer than
-    ``least`` characters. ``extract(bytes, pages) -> list of page texts`` is any PDF library's; the
+def pdf_text(df: DataFrame, pages: int = 12, least: int = 50, extract=None, most_bytes: int = 4 << 20) -> DataFrame:
+    """``(url, text, error)`` of PDF bodies of at most ``most_bytes``: the first pages joined by blank
+    lines, if longer than ``least`` characters. ``extract(bytes, pages) -> list of page texts`` is any PDF library's; the
     one installed is used by default, and without any the error is no_pdf_library."""
 
     def default(data: bytes, n: int) -> list[str]:
@@ -155,6 +163,9 @@ def pdf_text(df: DataFrame, pages: int = 12, least: int = 50, extract=None) -> D
         for b in batches:
             out = []
             for u, data in zip(b["url"].tolist(), b["body"].tolist()):
+                if len(data) > most_bytes:
+                    out.append((u, None, "pdf_too_large"))
+                    continue
                 try:
                     text = "\n\n".join(t for t in (extract or default)(data, pages) if t.strip())
                     out.append((u, text, None) if len(text) > least else (u, None, "pdf_empty"))
@@ -165,3 +176,14 @@ def pdf_text(df: DataFrame, pages: int = 12, least: int = 50, extract=None) -> D
             yield pd.DataFrame(out, columns=["url", "text", "error"])
 
     return df.where("kind = 'pdf'").select("url", "body").mapInPandas(run, "url string, text string, error string")
+
+
+def read_data_set(spark: SparkSession, source: str, config: str, split: str, resolve=None) -> DataFrame:
+    """One split of one configuration of a published data set: a folder in the layout that
+    ``sinks.publish`` writes, or a name that ``resolve(name)`` turns into such a folder. Splits may
+    be folders of Parquet files or files called split-00000-of-00001.parquet."""
+    folder = (resolve(source) if resolve else source).rstrip("/")
+    fs, p = _fs(spark, f"{folder}/{config}/{split}")
+    if fs.exists(p):
+        return spark.read.parquet(f"{folder}/{config}/{split}")
+    return spark.read.parquet(f"{folder}/{config}/{split}-*.parquet")

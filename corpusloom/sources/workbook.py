@@ -1,4 +1,4 @@
-"""Workbooks: a reader of .xlsx sheets as a data source, and a writer with drop-down lists.
+"""Workbooks: a reader of .xlsx sheets, and a writer with drop-down lists that depend on each other.
 
 The format is zipped XML, so neither needs a library beyond Python's own.
 """
@@ -12,8 +12,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+
+from ..operators.taxonomy import CATEGORIES, HORIZONS, SUBCODES, SURPRISE
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -52,74 +55,117 @@ def read_sheet(data: bytes, sheet: str | None = None) -> Iterator[list[str | Non
         yield out
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options, schema):
-        self.path, self.sheet, self.names = options["path"], options.get("sheet"), schema.names
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet with all columns as strings, named by the first row. The file is read by Spark, so
+    it may be on any file system that Spark knows; several files need one header."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b["content"]:
+                row = next(read_sheet(data, sheet), [])
+                yield pd.DataFrame({"name": [n for n in ((x or "").strip() for x in row) if n]})
 
-    def partitions(self):
-        return [InputPartition(self.path)]
+    names = list(dict.fromkeys(r["name"] for r in files.limit(1).mapInPandas(heads, "name string").collect()))
 
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            rows = read_sheet(f.read(), self.sheet)
-            head = [str(x).strip() if x is not None else "" for x in next(rows, [])]
-            at = [head.index(n) for n in self.names]
-            for r in rows:
-                yield tuple(r[i] if i < len(r) else None for i in at)
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b["content"]:
+                got = read_sheet(data, sheet)
+                head = [(x or "").strip() for x in next(got, [])]
+                at = [head.index(n) for n in names]
+                yield pd.DataFrame([[r[i] if i < len(r) else None for i in at] for r in got], columns=names, dtype=object)
 
+    return files.mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
 
-class WorkbookSource(DataSource):
-    """``spark.read.format("workbook")``: all columns are strings named by the first row."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
+def _letters(n: int) -> str:
+    return (_letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
 
-    def schema(self) -> str:
-        with open(self.options["path"], "rb") as f:
-            head = next(read_sheet(f.read(), self.options.get("sheet")), [])
-        return ", ".join(f"`{str(h).strip()}` string" for h in head if h is not None and str(h).strip())
 
-    def reader(self, schema):
-        return _Reader(self.options, schema)
+def _cell(ref: str, v) -> str:
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return f'<c r="{ref}"><v>{v}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    r = spark.read.format("workbook").option("path", path)
-    return (r.option("sheet", sheet) if sheet else r).load()
+def _grid(rows: list[list]) -> str:
+    lines = ("".join(_cell(f"{_letters(j)}{i}", v) for j, v in enumerate(r) if v is not None) for i, r in enumerate(rows, 1))
+    return "<sheetData>" + "".join(f'<row r="{i}">{x}</row>' for i, x in enumerate(lines, 1)) + "</sheetData>"
 
 
-def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[list]]], choices: dict[tuple[str, str], list[str]] | None = None) -> None:
+def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[list]]], choices: dict[tuple[str, str], list[str]] | None = None, cascades: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] | None = None, hidden: tuple[str, ...] = ()) -> None:
     """Small tables for people to fill in: ``{sheet: (header, rows)}``, with drop-down lists for the
-    columns in ``choices`` {(sheet, column): values}. Values too long for a list in place go to a
-    hidden sheet."""
-    letters = lambda n: (letters(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
-    names, hidden = list(sheets), []
+    columns in ``choices`` {(sheet, column): values}. A column in ``cascades`` {(sheet, column):
+    (other column, {value: values})} offers the values that belong to what the other column of its
+    row holds, by named ranges. All lists are on a sheet of their own that is hidden, as are those
+    in ``hidden``."""
+    lists: list[list[str]] = []
+    named: dict[str, str] = {}
+
+    def held(values: list[str]) -> str:
+        lists.append(values)
+        c = _letters(len(lists) - 1)
+        return f"Listes!${c}$1:${c}${len(values)}"
+
     bodies: dict[str, str] = {}
     for name, (header, rows) in sheets.items():
-        lines = []
-        for i, r in enumerate([header, *rows], 1):
-            cells = "".join(
-                f'<c r="{letters(j)}{i}"><v>{v}</v></c>' if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c r="{letters(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for j, v in enumerate(r) if v is not None
-            )
-            lines.append(f'<row r="{i}">{cells}</row>')
         rules = []
+
+        def rule(column: str, formula: str, header=header, rows=rows, rules=rules) -> None:
+            c = _letters(header.index(column))
+            rules.append(f'<dataValidation type="list" allowBlank="1" sqref="{c}2:{c}{len(rows) + 1}"><formula1>{escape(formula)}</formula1></dataValidation>')
+
         for (s, column), values in (choices or {}).items():
             if s == name:
-                j = header.index(column)
-                hidden.append(values)
-                rules.append(f'<dataValidation type="list" allowBlank="1" sqref="{letters(j)}2:{letters(j)}{len(rows) + 1}"><formula1>Listes!${letters(len(hidden) - 1)}$1:${letters(len(hidden) - 1)}${len(values)}</formula1></dataValidation>')
-        bodies[name] = f"<sheetData>{''.join(lines)}</sheetData>" + (f'<dataValidations count="{len(rules)}">{"".join(rules)}</dataValidations>' if rules else "")
-    if hidden:
-        names.append("Listes")
-        deep = max(map(len, hidden))
-        bodies["Listes"] = "<sheetData>" + "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{letters(j)}{i + 1}" t="inlineStr"><is><t>{escape(v[i])}</t></is></c>' for j, v in enumerate(hidden) if i < len(v)) + "</row>" for i in range(deep)) + "</sheetData>"
+                rule(column, held(values))
+        for (s, column), (other, by) in (cascades or {}).items():
+            if s == name:
+                named |= {f"{column}_{value}": held(values) for value, values in by.items() if values}
+                rule(column, f'INDIRECT("{column}_"&{_letters(header.index(other))}2)')
+        bodies[name] = _grid([header, *rows]) + (f'<dataValidations count="{len(rules)}">{"".join(rules)}</dataValidations>' if rules else "")
+    if lists:
+        bodies["Listes"] = _grid([[v[i] if i < len(v) else None for v in lists] for i in range(max(map(len, lists)))])
+        hidden = (*hidden, "Listes")
     main, rel = _NS["m"], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    parts = [f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(bodies) + 1)]
+    tabs = [f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"{" state=" + chr(34) + "hidden" + chr(34) if n in hidden else ""}/>' for i, n in enumerate(bodies, 1)]
+    links = [f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(bodies) + 1)]
+    names = "".join(f'<definedName name="{escape(n)}">{ref}</definedName>' for n, ref in named.items())
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1)) + "</Types>")
-        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"{" state=" + chr(34) + "hidden" + chr(34) if n == "Listes" else ""}/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        for i, n in enumerate(names, 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}">{bodies[n]}</worksheet>')
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{"".join(parts)}</Types>')
+        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{"".join(tabs)}</sheets>{f"<definedNames>{names}</definedNames>" if names else ""}</workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">{"".join(links)}</Relationships>')
+        for i, body in enumerate(bodies.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}">{body}</worksheet>')
+
+
+#: Rows of a workbook for annotators; what is beyond is an error.
+MOST_ROWS = 100_000
+GIVEN = ["row_id", "epoch", "doc_group", "iaa_subset", "content"]
+TO_FILL = ["csrd_category", "esrs_subcategory", "materialite_score", "materialite_financiere", "materialite_impact", "market_surprise", "horizon_temporel", "chain_of_thought", "confiance_annotation", "notes"]
+
+
+def annotation_workbook(path: str, rows: DataFrame, strata: DataFrame) -> None:
+    """The workbook of an annotation round: seven sheets. ``rows`` has the columns ``GIVEN``; what
+    they were drawn by (``strata``: row_id, stratum, density) stays on a hidden sheet, so that it
+    does not sway anyone. Subcategories offered depend on the category chosen."""
+    got = rows.select(*[F.col(c).cast("string") for c in GIVEN]).orderBy(F.col("row_id").cast("long")).limit(MOST_ROWS + 1).collect()
+    if len(got) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows for one workbook")
+    drawn = strata.join(F.broadcast(rows.select("row_id")), "row_id").select("row_id", "stratum", "density").orderBy("row_id").limit(MOST_ROWS).collect()
+    sizes = strata.join(F.broadcast(rows.select("row_id")), "row_id").groupBy("stratum").agg(F.count("*").alias("n")).orderBy("stratum").collect()
+    sheets = {
+        "Instructions": (["Instructions"], [["Remplir les colonnes à droite de l'extrait."], ["Sans pertinence : none, score 0, Non et Non, horizon vide."], ["Raisonnement en deux ou trois phrases ; confiance de 0 à 1."]]),
+        "Taxonomie": (["code", "pilier", "libellé", "sous-codes"], [[c, p, lab, ", ".join(SUBCODES[c])] for c, p, lab in CATEGORIES]),
+        "Echelle": (["score", "sens"], [[0, "none"], [1, "négligeable"], [5, "critique"]]),
+        "Annotation": ([*GIVEN, *TO_FILL], [[*r, *[None] * len(TO_FILL)] for r in got]),
+        "Metadonnees": (["row_id", "stratum", "density"], [list(r) for r in drawn]),
+        "Resume": (["stratum", "n"], [list(r) for r in sizes]),
+    }
+    yes = ["Oui", "Non"]
+    lists = {"csrd_category": [c for c, _, _ in CATEGORIES], "materialite_score": [str(i) for i in range(6)], "materialite_financiere": yes, "materialite_impact": yes, "market_surprise": SURPRISE, "horizon_temporel": HORIZONS}
+    subs = {c: v for c, v in SUBCODES.items() if c != "none"}
+    write_workbook(path, sheets, {("Annotation", c): v for c, v in lists.items()}, {("Annotation", "esrs_subcategory"): ("csrd_category", subs)}, ("Metadonnees",))

@@ -39,7 +39,12 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, transform: Call
         out = transform(batch)
         (out.dropDuplicates(key) if key else out).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    running = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        running.awaitTermination()
+    except KeyboardInterrupt:  # what ended is in the checkpoint; the next call goes on from there
+        running.stop()
+        raise
 
 
 def ingest_paragraphs(spark: SparkSession, source: str, work: str | None = None, files_per_batch: int = 30) -> DataFrame:

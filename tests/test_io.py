@@ -1,6 +1,7 @@
 """Sources, sinks and the stream."""
 
 import json
+import zipfile
 
 import numpy as np
 import pytest
@@ -104,3 +105,83 @@ def test_windows_on_a_stream(spark, data, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("hours").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("hours").agg(F.sum("n")).first()[0] == table
+
+
+def test_fetch_asks_for_the_size_first(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def get(u):
+        asked.add(1)
+        return 200, "text/html", b"x"
+
+    got = {r["url"]: r["error"] for r in tabular.fetch(spark.createDataFrame([("big",), ("small",), (" ",)], "u string"), "u", get, 100, size=lambda u: 1000 if u == "big" else 0).collect()}
+    assert got == {"big": "too_large", "small": None, " ": "empty_url"} and asked.value == 1
+
+
+def test_publish_and_read_again(spark, tmp_path):
+    df, gold = spark.range(3), spark.range(2)
+    assert sinks.publish(df, gold, str(tmp_path / "out")) == {f"{tmp_path}/out/corpus/train": 3, f"{tmp_path}/out/gold/test": 2}
+    assert not (tmp_path / "out").exists()
+    sinks.publish(df, gold, str(tmp_path / "out"), dry_run=False, card="# Card")
+    assert tabular.read_data_set(spark, "name", "corpus", "train", resolve=lambda n: str(tmp_path / "out")).count() == 3
+    (tmp_path / "hub" / "corpus").mkdir(parents=True)
+    df.toPandas().to_parquet(tmp_path / "hub" / "corpus" / "train-00000-of-00001.parquet")
+    assert tabular.read_data_set(spark, str(tmp_path / "hub"), "corpus", "train").count() == 3
+
+
+def test_artefacts_must_agree(tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    with pytest.raises(FileNotFoundError):
+        sinks.collect_artefacts(str(src), str(tmp_path / "t"), {})
+    (src / "adapter_config.json").write_text('{"r": 16}')
+    (src / "tokenizer.json").write_text("{}")
+    with pytest.raises(ValueError):
+        sinks.collect_artefacts(str(src), str(tmp_path / "t"), {"r": 8})
+    assert not (tmp_path / "t").exists() and len(sinks.collect_artefacts(str(src), str(tmp_path / "t"), {"r": 16})) == 2
+
+
+def test_confusions_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([("m1", "E1", 3, 0.5), ("m2", "S1", 1, None)], "model string, gold_label string, E1 long, x double")
+    sinks.write_confusions(df, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c" / "model=m1"), header=True).first()["E1"] == "3"
+    tables = sinks.report_tables(df, df, df, df, df, df)
+    assert len(tables) == 6 and "0.500" in tables["models"] and r"m2 & S1 & 1 & --" in tables["epochs"]
+
+
+def test_each_key_runs_once(spark, tmp_path):
+    ran = []
+
+    def one(key, fail=None):
+        if key == fail:
+            raise RuntimeError(key)
+        ran.append(key)
+        return spark.range(2).withColumnRenamed("id", "n")
+
+    with pytest.raises(RuntimeError):
+        ingest.per_key(spark, ["a", "b"], str(tmp_path / "k"), lambda k: one(k, "b"))
+    got = ingest.per_key(spark, ["a", "b"], str(tmp_path / "k"), one)
+    assert ran == ["a", "b"] and got.count() == 4 and {r["key"] for r in got.collect()} == {"a", "b"}
+
+
+def test_command_line(spark, capsys, data):
+    from corpusloom.__main__ import main
+
+    assert main(["list"]) == 0 and "stratum_table" in capsys.readouterr().out.split()
+    assert main(["sql", "distinct_counts"]) == 0 and "count(distinct" in capsys.readouterr().out
+    assert main(["sql", "no such"]) == 2 and main(["run", "distinct_counts", "--data", data, "--rows", "1"]) == 0
+
+
+def test_annotation_workbook(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    df = spark.createDataFrame([(2, "2010-2014", "Avis", True, "b"), (1, None, "Avis", False, "a & <b>")], "row_id long, epoch string, doc_group string, iaa_subset boolean, content string")
+    workbook.annotation_workbook(path, df, spark.createDataFrame([(1, "s1", 0.5), (2, "s1", 0.25), (3, "s2", 0.1)], "row_id long, stratum string, density double"))
+    got = workbook.read_workbook(spark, path, "Annotation").collect()
+    assert [r["row_id"] for r in got] == ["1", "2"] and got[0]["content"] == "a & <b>" and got[0]["csrd_category"] is None
+    assert [tuple(r) for r in workbook.read_workbook(spark, path, "Resume").collect()] == [("s1", "2")]
+    with zipfile.ZipFile(path) as z:
+        book, sheet = z.read("xl/workbook.xml").decode(), z.read("xl/worksheets/sheet4.xml").decode()
+    assert book.count("<sheet ") == 7 and book.count('state="hidden"') == 2 and 'name="esrs_subcategory_E1"' in book
+    assert sheet.count("<dataValidation ") == 7 and "INDIRECT(\"esrs_subcategory_\"&amp;F2)" in sheet
+    with pytest.raises(Exception, match="no sheet"):
+        workbook.read_workbook(spark, path, "Autre")

@@ -213,3 +213,53 @@ def test_filters_on_empty_tables(spark):
     df = spark.createDataFrame([], "row_id int, lang string")
     assert filters.where_or_all(df, filters.member(F.col("lang"), ["fr"])).count() == 0
     assert [r["n"] for r in filters.funnel(df, {"fr": filters.member(F.col("lang"), ["fr"])}).collect()] == [0, 0]
+
+
+# p of Student's t, by tables
+@pytest.mark.parametrize("t,df,p", [(1.0, 1, 0.5), (4.302653, 2, 0.05), (3.182446, 3, 0.05), (2.776445, 4, 0.05), (2.570582, 5, 0.05), (2.228139, 10, 0.05), (2.750, 30, 0.01), (-2.750, 30, 0.01), (0.0, 7, 1.0)])
+def test_t_tail(spark, t, df, p):
+    got = spark.range(1).select(stats.t_tail(F.lit(t), F.lit(df).cast("long")).alias("p")).first()["p"]
+    assert abs(got - p) < 1e-4
+
+
+def test_t_tail_without_degrees_of_freedom(spark):
+    assert spark.range(1).select(stats.t_tail(F.lit(1.0), F.lit(0).cast("long")).alias("p")).first()["p"] is None
+
+
+def test_reduced_quotas_give_back_what_floors_take(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 500), *[(f"s{i}", 3) for i in range(20)], *[(f"t{i}", 9) for i in range(10)]], "stratum string, size long")
+    got = {r["stratum"]: r["quota"] for r in quotas.reduced(sizes, 200, 5).collect()}
+    plain = {r["stratum"]: r["quota"] for r in quotas.proportional(sizes, 200, 5).collect()}
+    assert sum(plain.values()) > 200 and sum(got.values()) < sum(plain.values())
+    assert all(got[s] == 3 for s in got if s[0] == "s") and all(got[s] == 5 for s in got if s[0] == "t") and got["a"] > got["b"] > 5
+    assert quotas.reduced(sizes.where("false"), 200, 5).count() == 0
+
+
+def test_both_models_and_hidden_states(spark):
+    df = spark.createDataFrame([(1, "La trajectoire carbone."), (2, "Rien."), (3, None)], "row_id long, content string")
+    got = {r["row_id"]: (r["silver_category"], r["base_category"]) for r in models.both(df, models.KeywordStub(), models.Labelled("content")).collect()}
+    assert got[1] == ("E1", "La trajectoire carbone.") and got[2][0] == "none"
+    last = models.hidden_states(df, models.HashedEncoder(2, 8), "row_id", "content")
+    assert last.count() == 4 and len(last.first()["features"]) == 8
+    mean = models.hidden_states(df.where("row_id = 2"), models.HashedEncoder(2, 8), "row_id", "content", "mean").collect()
+    assert [r["features"] for r in mean] == [r["features"] for r in last.where("row_id = 2").collect()]  # one word
+    with pytest.raises(ValueError):
+        models.hidden_states(df, models.HashedEncoder(), "row_id", "content", "first")
+
+
+def test_padded_examples(spark):
+    own = spark.createDataFrame([("a", "x")], "label string, content string")
+    defaults = spark.createDataFrame([(1, "b", "y"), (2, "c", None)], "i int, label string, content string")
+    got = [tuple(r) for r in ranking.padded(own, ["label"], defaults, ["i"], 2).orderBy("place").select("place", "label").collect()]
+    assert got == [(1, "a"), (2, "b")]
+    prompt = text.n_shot(ranking.padded(own, ["label"], defaults, ["i"], 5), "place", "content", "label").first()
+    assert prompt["n"] == 3 and prompt["prompt"].endswith("Exemple 3 :\nExtrait : «»\nRéponse : c")
+    assert text.n_shot(ranking.padded(own.where("false"), ["label"], defaults.where("false"), ["i"], 5), "place", "content", "label").first()["n"] == 0
+
+
+def test_word_features_of_odd_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \u2003\n",), ("un\u00a0deux  UN",)], "c string")
+    got = [tuple(r) for r in df.select(text.measures(F.col("c")).alias("m")).select("m.n_words", "m.alpha_ratio", "m.unique_ratio").collect()]
+    assert got[0] == (0, None, None) and got[1] == (0, 0.0, 0.0) and got[2][0] == 0 and got[3][0] == 3 and abs(got[3][2] - 2 / 3) < 1e-9
+    assert df.where(text.passes_quality(F.col("c"))).count() == 0
+    assert [r["s"] for r in df.select(text.scored(F.col("c")).alias("s")).collect()] == [None] * 4
