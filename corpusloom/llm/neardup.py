@@ -63,14 +63,12 @@ def shingle_hashes(a: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _minhashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The minhash vectors (32 bits each) of a batch."""
+    """The minhash vectors (32 bits each) of a batch: the members are hashes already, so an odd
+    multiplier is enough to put them in another order."""
     starts = np.cumsum(counts) - counts
     mins = np.empty((len(counts), MINHASHES), dtype=np.uint64)
     for k, salt in enumerate(_SALTS):
-        x = flat * salt
-        x ^= x >> np.uint64(32)
-        x *= _M1
-        mins[:, k] = np.minimum.reduceat(x, starts)
+        mins[:, k] = np.minimum.reduceat(flat * salt, starts)
     mins ^= mins >> np.uint64(30)
     mins *= _M3
     return (mins >> np.uint64(28)).astype(np.uint32).view(np.int32)
