@@ -53,7 +53,8 @@ def round_robin(df: DataFrame, part: str, group: str, key: str, n: int, seed: in
 
 def round_robin_quota(df: DataFrame, part: str, group: str, key: str, quota: DataFrame, seed: int) -> DataFrame:
     """As ``round_robin`` with the number of rows of each part from ``quota`` (part, quota)."""
-    a = df.join(F.broadcast(quota), part).withColumn("_turn", F.row_number().over(W.partitionBy(part, group).orderBy(shuffled(key, seed), key))).where("_turn <= quota")
+    most = quota.agg(F.max("quota")).first()[0] or 0  # so that each map can cut its groups before the shuffle
+    a = top_k(df.join(F.broadcast(quota), part), [part, group], [shuffled(key, seed), key], int(most), "_turn").where("_turn <= quota")
     k = F.row_number().over(W.partitionBy(part).orderBy("_turn", shuffled(group, seed), group))
     return a.withColumn("_k", k).where("_k <= quota").drop("_turn", "_k", "quota")
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
-from . import queries_composite, queries_metrics, queries_pairs, queries_relational, queries_text  # noqa: F401  they register
+from . import queries_composite, queries_io, queries_metrics, queries_pairs, queries_relational, queries_text  # noqa: F401  they register
 from .registry import QUERIES, SQL
 
 

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,19 +98,35 @@ def write_atomically(path: str, text: str) -> None:
     os.replace(tmp, path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of the driver's on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def run_metadata(path: str, source: str | None = None, parameters: dict | None = None, **tables: DataFrame) -> dict:
     """Parameters, the hash of a source file, and small aggregates, as one JSON document.
     An aggregate of more than ``META_ROWS`` rows is an error, and nothing is written."""
-    meta: dict = {"parameters": parameters or {}}
+    meta = metadata(parameters, **tables)
     if source and os.path.isfile(source):
         with open(source, "rb") as f:
             meta["source_sha256"] = hashlib.file_digest(f, "sha256").hexdigest()
+    write_atomically(path, json.dumps(meta, ensure_ascii=False, indent=1, default=str))
+    return meta
+
+
+def metadata(parameters: dict | None = None, **tables: DataFrame) -> dict:
+    """Parameters and small aggregates of a run."""
+    meta: dict = {"parameters": parameters or {}}
     for name, df in tables.items():
         rows = df.limit(META_ROWS + 1).collect()
         if len(rows) > META_ROWS:
             raise ValueError(f"{name} has more than {META_ROWS} rows; write it as a table")
         meta[name] = [r.asDict(recursive=True) for r in rows]
-    write_atomically(path, json.dumps(meta, ensure_ascii=False, indent=1, default=str))
     return meta
 
 

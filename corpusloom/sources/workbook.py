@@ -94,7 +94,7 @@ def _grid(rows: list[list]) -> str:
     return "<sheetData>" + "".join(f'<row r="{i}">{x}</row>' for i, x in enumerate(lines, 1)) + "</sheetData>"
 
 
-def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[list]]], choices: dict[tuple[str, str], list[str]] | None = None, cascades: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] | None = None, hidden: tuple[str, ...] = ()) -> None:
+def write_workbook(path: str | io.BytesIO, sheets: dict[str, tuple[list[str], list[list]]], choices: dict[tuple[str, str], list[str]] | None = None, cascades: dict[tuple[str, str], tuple[str, dict[str, list[str]]]] | None = None, hidden: tuple[str, ...] = ()) -> None:
     """Small tables for people to fill in: ``{sheet: (header, rows)}``, with drop-down lists for the
     columns in ``choices`` {(sheet, column): values}. A column in ``cascades`` {(sheet, column):
     (other column, {value: values})} offers the values that belong to what the other column of its
