@@ -91,8 +91,8 @@ def _hits(docs: DataFrame, held: DataFrame, run: int, limit: int) -> DataFrame:
     if distinct.count() <= limit:
         known = _Filter(np.sort(distinct.toArrow()["h"].to_numpy()))
     else:
-        at = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-        got = distinct.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.shiftleft(F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))).alias("bits")).toArrow()
+        at = distinct.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+        got = at.groupBy(F.expr("shiftright(at, 3)").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at & 7 as int)))").alias("bits")).toArrow()
         bits = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
         bits[got["byte"].to_numpy()] = got["bits"].to_numpy()
         known = _Filter(None, bits)

@@ -30,7 +30,7 @@ from .lines import LineDropper, repeated_lines
 from .textform import by_size, consistent, word_hashes
 
 SHINGLE, THRESHOLD, MIN_WORDS = 3, 0.5, 20
-TREES, BRANCHES = 5, (2, 2, 1)
+TREES, BRANCHES = 10, (2, 1, 1)
 MINHASHES = 32
 BITS, CLASSES = 248, 256  # of a sketch; the classes of set sizes, 16 for each doubling
 SAMPLED, DEVIATIONS = 224, 3.3  # sets beyond that size are sampled for the sketch; a pair at the threshold may be so far off
@@ -63,12 +63,14 @@ def shingle_hashes(a: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _minhashes(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The minhash vectors (32 bits each) of a batch: the members are hashes already, so an odd
-    multiplier is enough to put them in another order."""
+    """The minhash vectors (32 bits each) of a batch."""
     starts = np.cumsum(counts) - counts
     mins = np.empty((len(counts), MINHASHES), dtype=np.uint64)
     for k, salt in enumerate(_SALTS):
-        mins[:, k] = np.minimum.reduceat(flat * salt, starts)
+        x = flat * salt
+        x ^= x >> np.uint64(32)
+        x *= _M1
+        mins[:, k] = np.minimum.reduceat(x, starts)
     mins ^= mins >> np.uint64(30)
     mins *= _M3
     return (mins >> np.uint64(28)).astype(np.uint32).view(np.int32)
