@@ -68,11 +68,12 @@ def t_tail(t: Column, df: Column) -> Column:
 
 
 def drift(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Last minus first, slope, R squared and p of a least-squares line, with three points or more."""
+    """Last minus first, slope, R squared and p of a least-squares line, with three points or more. Where
+    R squared is 1, as it is if all values are equal, p is null, as in the SQL of the queries."""
     got = df.where(F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_points"), (F.max_by(y, x) - F.min_by(y, x)).alias("td"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"))
     r2 = F.col("r2")
     t = F.sqrt(F.try_divide(r2 * (F.col("n_points") - 2), 1 - r2))
-    p = F.when(r2 >= 1, 0.0).otherwise(t_tail(t, F.col("n_points") - 2))
+    p = F.when(r2 < 1, t_tail(t, F.col("n_points") - 2))
     enough = F.col("n_points") >= 3
     return got.select(*by, "n_points", *[F.when(enough, F.round(v, 6)).alias(n) for n, v in (("td", F.col("td")), ("slope", F.col("slope")), ("r2", r2), ("p_ols", p))])
 
@@ -84,11 +85,15 @@ def mean_rank(value: str, part: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation and its p, with three points or more; p of a perfect correlation is 0."""
+    """Rank correlation and its p, with three points or more; p of a perfect correlation is 0. Where
+    all values of a side are equal the correlation is NaN, and its p 0, as in the SQL of the queries.
+    """
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", mean_rank(x, by)).withColumn("_y", mean_rank(y, by))
-    got = r.groupBy(*by).agg(F.count("*").alias("n_points"), F.corr("_x", "_y").alias("rho"))
+    varies = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    corr = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # F.corr divides by zero
+    got = r.groupBy(*by).agg(F.count("*").alias("n_points"), F.when(varies, corr).otherwise(math.nan).alias("rho"))
     rho, n = F.col("rho"), F.col("n_points")
-    p = F.when(F.abs(rho) > 1 - 1e-12, 0.0).otherwise(t_tail(rho * F.sqrt((n - 2) / ((1 - rho) * (1 + rho))), n - 2))
+    p = F.when(F.isnan(rho) | (F.abs(rho) > 1 - 1e-12), 0.0).otherwise(t_tail(rho * F.sqrt((n - 2) / ((1 - rho) * (1 + rho))), n - 2))
     return got.select(*by, "n_points", *[F.when(n >= 3, F.round(v, 6)).alias(c) for c, v in (("rho", rho), ("p_rho", p))])
 
 
