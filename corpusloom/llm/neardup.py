@@ -4,15 +4,14 @@ Each row is the set of its distinct sequences of consecutive words. Rows with eq
 one representative first. In each of several independent trees a representative walks from the
 root: at every node some positions of its minhash vector are chosen by a hash of the path, and
 the minwise tokens there name the children it goes to. Rows that meet in a node of the last
-level are compared by a sketch of their sets that bounds how many members differ; rows of the very
-largest nodes walk further down first. Pairs that pass the sketch are checked against the exact
-sets, and the groups are the connected components of the pairs that hold.
+level are compared by a sketch of their sets that bounds how many members differ. Pairs that pass
+the sketch are checked against the exact sets, and the groups are the connected components of the
+pairs that hold. Whether two rows are compared depends on these two only, not on what else there is.
 
 What is shuffled: 20 narrow entries for each representative, and the token sets of those rows
 only that are in some candidate pair. No task gets a whole key: nodes too large to compare are
 found by counters of fixed size before their rows meet, and are compared block by block, every
-pair of blocks in a task of its own. Only beyond ``WALK`` blocks do the rows of a node walk on,
-and what stays as large at the last depth is compared block by block there.
+pair of blocks in a task of its own. The comparisons are quadratic in the rows of a node.
 """
 
 from __future__ import annotations
@@ -34,7 +33,9 @@ TREES, BRANCHES = 10, (2, 1, 1)
 MINHASHES = 32
 BITS, CLASSES = 248, 256  # of a sketch; the classes of set sizes, 16 for each doubling
 SAMPLED, DEVIATIONS = 224, 3.3  # sets beyond that size are sampled for the sketch; a pair at the threshold may be so far off
-NODE, WALK, DEPTH = 4096, 32, 8  # rows compared in one task; times that a node may have before its rows walk on; last depth
+NODE, BLOCKS = 4096, 64  # rows compared in one task; blocks of half as many that a node is cut into at most, larger ones beyond
+DEPTH = len(BRANCHES)  # of the nodes in which rows meet, however large; nothing reads it
+DENSE, TILE = 64, (32, 4096)  # rows of a node that are compared in tiles; size of a tile, which fits a core's cache
 COUNTERS = 1 << 16, 1 << 20  # fewest and most; one for each 64 entries between. More entries than the most can tell apart are counted by node
 
 SKETCH = ["s1", "s2", "s3", "s4"]
@@ -174,18 +175,16 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("mh").flatten().to_numpy(zero_copy_only=False).reshape(-1, MINHASHES)
 
 
-def _entries(rows: DataFrame, widths: tuple[int, ...], counters: int | None = None) -> DataFrame:
-    """An entry (node, row_id, sketch) for each node that a row reaches. ``rows`` has the vector,
-    and the node from where it walks unless it starts at the roots. With ``counters`` their
-    partial sums (c, n) instead."""
-    rooted = "node" not in rows.columns
+def _entries(rows: DataFrame, counters: int | None = None) -> DataFrame:
+    """An entry (node, row_id, sketch) for each node of the last level that a row reaches. With
+    ``counters`` their partial sums (c, n) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters or 0, dtype=np.int64)
         for batch in batches:
             minhash = _vectors(batch)
-            paths = [np.full(len(minhash), t + 1, dtype=np.uint64) for t in range(TREES)] if rooted else [batch.column("node").to_numpy().view(np.uint64)]
-            for width in widths:
+            paths = [np.full(len(minhash), t + 1, dtype=np.uint64) for t in range(TREES)]
+            for width in BRANCHES:
                 paths = [c for p in paths for c in _children(p, minhash, width)]
             nodes = np.concatenate(paths).view(np.int64)
             if counters:
@@ -200,11 +199,39 @@ def _entries(rows: DataFrame, widths: tuple[int, ...], counters: int | None = No
     return rows.mapInArrow(run, "c long, n long" if counters else f"node long, row_id long, {_SKETCHED}")
 
 
+def _tiles(words: list[np.ndarray], classes: np.ndarray, x: np.ndarray, y: np.ndarray | None, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the rows ``x`` with the rows ``y``, or with each other, those whose sketches may be of sets
+    alike. Both are taken in the order of their classes, so what their sizes exclude is not compared."""
+    below, alike, alone = (most + 1).astype(np.uint8), most >= 0, y is None
+    low, high = alike.argmax(axis=1), CLASSES - alike[:, ::-1].argmax(axis=1)
+    x = x[np.argsort(classes[x], kind="stable")]
+    y = x if alone else y[np.argsort(classes[y], kind="stable")]
+    of_x, of_y, kinds = [w[x, None] for w in words], [w[y] for w in words], classes[y]
+    for r in range(0, len(x), TILE[0]):
+        c = classes[x[r : r + TILE[0]]]
+        begin, end = np.searchsorted(kinds, [low[c[0]], high[c[-1]]])
+        limits = below[c]
+        for k in range(max(begin, r) if alone else begin, end, TILE[1]):
+            stop = min(k + TILE[1], end)
+            bits = np.zeros((len(c), stop - k), dtype=np.uint8)
+            for v, w in zip(of_x, of_y):
+                bits += np.bitwise_count(v[r : r + TILE[0]] ^ w[k:stop])
+            i, j = np.nonzero(bits < limits.take(kinds[k:stop], axis=1))
+            if alone:
+                i, j = i[j + k > i + r], j[j + k > i + r]
+            if len(i):
+                yield x[i + r], y[j + k]
+
+
 def _meet(entries: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a < b`` within each node whose sketches may be of sets alike. Nodes come whole and in
     order, one behind the other, whatever the batches; a batch ends within a node at most once."""
     most, size, sided = most_bits(threshold), np.uint64(0xFF) << np.uint64(56), "side" in entries.columns
 
+    def batch_of(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        ab = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
     def pairs(node: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         words = [w.view(np.uint64) for w in rest[: len(SKETCH)]]
         classes = (words[-1] >> np.uint64(56)).astype(np.int64)  # the last byte, as the words are little-endian
@@ -216,7 +243,19 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
             side = rest[-1]
             second = ends - np.repeat(np.add.reduceat((side == 2).astype(np.int64), starts), sizes)
             first = np.where(side == 0, first, np.where(side == 1, second, ends))
-        more = ends - first
+        for at, end in zip(starts[sizes >= DENSE], starts[sizes >= DENSE] + sizes[sizes >= DENSE]):
+            x, y, kept, held = np.arange(at, end), None, [], 0
+            if sided and side[at]:
+                x, y = np.split(x, [second[at] - at])
+            for ij in _tiles(words, classes, x, y, most):
+                kept.append(ij)
+                held += len(ij[0])
+                if held > 1_000_000:
+                    yield batch_of(ids, *map(np.concatenate, zip(*kept)))
+                    kept, held = [], 0
+            if kept:
+                yield batch_of(ids, *map(np.concatenate, zip(*kept)))
+        more = np.where(np.repeat(sizes >= DENSE, sizes), 0, ends - first)
         for part in np.array_split(np.flatnonzero(more), int(more.sum()) // 1_000_000 + 1):
             r = more[part]
             i = np.repeat(part, r)
@@ -228,8 +267,7 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
                 bits += np.bitwise_count(w[i] ^ w[j])
             i, j = i[bits <= allowed], j[bits <= allowed]
             if len(i):
-                ab = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+                yield batch_of(ids, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] | None = None
@@ -251,54 +289,40 @@ def _meet(entries: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a < b")
 
 
-def _heavy(rows: DataFrame, entries: DataFrame, widths: tuple[int, ...], n: int) -> tuple[DataFrame, DataFrame]:
-    """The entries with a column ``c``, and the values of it (c, walks) at which more than ``NODE``
-    rows may meet. Counters of fixed size tell them before any entry is moved; where there are more
-    entries than counters can tell apart, the nodes are counted one by one."""
+def _heavy(rows: DataFrame, entries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The entries with a column ``c``, and the values of it at which more than ``NODE`` rows may
+    meet. Counters of fixed size tell them before any entry is moved; where there are more entries
+    than counters can tell apart, the nodes are counted one by one."""
     counters = min(max(1 << (n // 64).bit_length(), COUNTERS[0]), COUNTERS[1])
     if 4 * n <= NODE * counters:
-        counts = _entries(rows, widths, counters).groupBy("c").agg(F.sum("n").alias("n"))
+        counts = _entries(rows, counters).groupBy("c").agg(F.sum("n").alias("n"))
         entries = entries.withColumn("c", F.col("node").bitwiseAND(F.lit(counters - 1)))
     else:
         entries = entries.withColumn("c", F.col("node"))
         counts = entries.groupBy("c").agg(F.count("*").alias("n"))
-    heavy, _ = sized(counts.where(F.col("n") > NODE).select("c", (F.col("n") > WALK * NODE).alias("walks")))
+    heavy, _ = sized(counts.where(F.col("n") > NODE).select("c"))
     return entries, heavy
 
 
 def candidate_pairs(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs of representatives that meet in a node and have like sketches.
+    """Distinct pairs of representatives that meet in a node and have like sketches: in large nodes
+    all pairs too, so whether a pair is found does not depend on how many rows there are.
 
     ``reps``: row_id, mh and sketch; read several times, so a materialised table.
     """
-    found, rows, widths = [], reps, BRANCHES
-    n = reps.count() * TREES * int(np.prod(BRANCHES))
-    for depth in range(len(BRANCHES), DEPTH + 1):
-        entries = _entries(rows, widths)
-        tagged, heavy = _heavy(rows, entries, widths, n)
-        if heavy.isEmpty():
-            found.append(_meet(entries, threshold))
-            break
-        found.append(_meet(tagged.join(heavy, "c", "left_anti").drop("c"), threshold))
-        large = tagged.join(heavy, "c").select("node", "row_id", *SKETCH, "walks")
-        last = depth == DEPTH or heavy.where("walks").isEmpty()
-        found.append(_meet(_blocks((large if last else large.where("not walks")).drop("walks")), threshold))
-        if last:
-            break
-        rows = cut(large.where("walks").select("node", "row_id").join(reps, "row_id"))
-        widths = (1 + depth % 2,)
-        n = rows.count() * widths[0]
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    entries, heavy = _heavy(reps, _entries(reps), reps.count() * TREES * int(np.prod(BRANCHES)))
+    if heavy.isEmpty():
+        return _meet(entries.drop("c"), threshold).distinct()
+    pairs = _meet(entries.join(heavy, "c", "left_anti").drop("c"), threshold)
+    return pairs.unionByName(_meet(_blocks(entries.join(heavy, "c").drop("c")), threshold)).distinct()
 
 
 def _blocks(large: DataFrame) -> DataFrame:
-    """Entries of large nodes as nodes of at most about ``NODE`` rows in which all their pairs
-    meet: a row goes to each pair of blocks that its own is in. ``side`` tells the two blocks of a
-    pair apart, and is 0 where a block meets itself."""
-    size, _ = sized(large.groupBy("node").count().where(F.col("count") > NODE).select("node", F.ceil(2 * F.col("count") / NODE).alias("blocks")))
+    """Entries of large nodes as nodes of about ``NODE`` rows in which all their pairs meet: a row
+    goes to each pair of blocks that its own is in, so to at most ``BLOCKS``; blocks of the very
+    largest nodes are larger. ``side`` tells the two blocks of a pair apart, and is 0 where a block
+    meets itself."""
+    size, _ = sized(large.groupBy("node").count().where(F.col("count") > NODE).select("node", F.least(F.ceil(2 * F.col("count") / NODE), F.lit(BLOCKS)).alias("blocks")))
     own = large.join(size, "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     own = own.withColumn("own", F.pmod(F.xxhash64("row_id"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("k"), 0).when(F.col("own") < F.col("k"), 1).otherwise(2).alias("side")

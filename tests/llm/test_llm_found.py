@@ -152,6 +152,15 @@ def test_p2_hot_nodes_in_blocks_lose_no_pair(spark, monkeypatch):
     assert rows(neardup._meet(neardup._blocks(node), 0.0)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
 
 
+def test_p2_p5_pairs_do_not_depend_on_the_size_of_nodes(spark, monkeypatch):
+    shared = " ".join(f"commun{i}" for i in range(60))
+    data = [(2 * i + k, "d", "E", f"{shared} {' '.join(f'f{i}m{j}' for j in range(15))} {' '.join(f'r{i}k{k}m{j}' for j in range(20))}") for i in range(160) for k in range(2)]
+    reps = neardup.word_sets(spark.createDataFrame(data, CORPUS), None, 3, 20, True).cache()
+    want = rows(neardup.candidate_pairs(reps))
+    monkeypatch.setattr(neardup, "NODE", 2)  # so some nodes are more than 32 times as large
+    assert want and rows(neardup.candidate_pairs(reps)) == want
+
+
 @pytest.mark.parametrize("size", [30, 110, 200, 400, 900, 5000])
 def test_p2_sketch_keeps_pairs_at_the_threshold(size):
     rng = np.random.default_rng(size)
